@@ -52,7 +52,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
         .withColumn("level", F.try_divide(F.sum("source_size").over(everything) - F.coalesce(F.sum("ceiling").over(by_ceiling), F.lit(0.0)), F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(by_ceiling), F.lit(0.0))))
         .withColumn("full", F.col("ceiling") <= F.col("level") * F.col("weight"))
     )
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    # rows after the first that is not full count their neighbours' ceilings too: the greatest level is the first's
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     return levelled.select("source_key", "source_size", F.when(F.col("full"), F.col("ceiling")).otherwise(level * F.col("weight")).alias("target"))
 
 
