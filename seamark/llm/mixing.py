@@ -62,9 +62,8 @@ def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataF
     return docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("source_key"), words.alias("size"), id_hash(F.col(id_col)).alias("hash"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """A row per document: id, size, source_size, target (its source's words), copies and taken (words, copies counted)."""
-    lean = written(sized(docs, id_col, source_col, text_col), "mix-sizes")
+def limits(lean: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
+    """A written row per source of lean (sized()'s rows): source_key, source_size, target, whole, limit. Documents are taken `whole` times, and once more if their hash is below `limit`."""
     budgets = targets(lean.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, most)
     whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
     # prefix: the boundary's leading bits; before: words of the documents below them
@@ -92,7 +91,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST,
     # taken while it comes nearer to the budget
     nearer = (F.col("upto") <= F.col("budget")) | (F.col("upto") - F.col("budget") <= F.col("budget") - (F.col("upto") - F.col("words")))
     edge = last.filter(nearer).groupBy("source_key").agg(F.max("hash").alias("edge"))
-    limits = written(bounds.join(edge, "source_key", "left").select("source_key", "source_size", "target", "whole", F.coalesce(F.col("edge") + 1, F.shiftleft("prefix", shift)).alias("limit")), "mix-limits")
+    out = written(bounds.join(edge, "source_key", "left").select("source_key", "source_size", "target", "whole", F.coalesce(F.col("edge") + 1, F.shiftleft("prefix", shift)).alias("limit")), "mix-limits")
     drop(bounds)
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)
-    return lean.join(limits, "source_key").select(F.col("id").alias(id_col), "size", "source_size", "target", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return out
+
+
+def copies() -> Column:
+    return (F.col("whole") + F.when(F.col("hash") < F.col("limit"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """A row per document: id, size, source_size, target (its source's words), copies and taken (words, copies counted)."""
+    lean = written(sized(docs, id_col, source_col, text_col), "mix-sizes")
+    decided = lean.join(limits(lean, weights, most), "source_key")
+    return decided.select(F.col("id").alias(id_col), "size", "source_size", "target", copies().alias("copies"), (F.col("size") * copies()).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs with each row as often as the mix takes it; the texts stay where they are, only sources' limits move."""
+    lean = written(sized(docs, id_col, source_col, text_col), "mix-sizes")
+    found = limits(lean, weights, most).select(F.col("source_key").alias("__source"), "whole", "limit")
+    drop(lean)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), source_key(F.col(source_col)).alias("__source"), id_hash(F.col(id_col)).alias("hash"))
+    return rows.join(found, "__source").select("doc", F.explode(F.array_repeat(F.lit(0), copies().cast("int")))).select("doc.*")

@@ -6,17 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seamark.llm import bpe, chat, mixing, neighbours, quality, secrets, sharding
+from seamark.llm import bpe, chat, jaccard, katz, mixing, neighbours, pii, quality, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search_divisible(table(spark, sf_dir, "embeddings"))
 
@@ -25,6 +33,10 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_log(chat.as_events(chat.with_probe(table(spark, sf_dir, "conversations")))))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -42,7 +54,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("blob")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op4_neighbours, op5_chat, op7_bpe, op8_sharding, op9_quality, op10_secrets)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_katz, op2_mixing, op3_jaccard, op4_neighbours, op5_chat, op6_pii, op7_bpe, op8_sharding, op9_quality, op10_secrets)}
 
 #: Sources' shares: water-filling, in the order in which sources reach three times their size.
 OP2_SQL = r"""
