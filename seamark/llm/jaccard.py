@@ -11,11 +11,14 @@ before two sets are compared. The cost uses a sketch of how many classes hold ea
 has a fixed size (SKETCH counters, less their mean) and only guides the order and the choice of L: the
 result is the same whatever it says.
 
-Postings are grouped by bits of the shingle's key. A list of up to SMALL classes gives all its pairs, a
-longer one links each class to its first class of fitting size (a star). These pairs are verified on
-whole texts, and components of verified links are labelled. Then the longer lists give the pairs that
-still lie in different components, which are verified too. Thus no link between components is lost, and
-a group of thousands of near copies costs pairs in proportion to its size.
+Postings are grouped by bits of the shingle's key. A list of up to SMALL classes gives its pairs, which
+are verified on whole texts where they share enough prefix shingles. The classes of a longer list join
+the family of the list's first class. Lists of one group of near copies mostly have the same first class,
+so a class is in few families, and any two classes of a longer list have a family in common. A family is
+cut into blocks, and each pair of blocks is a tile: all its sets are compared at once, by products of 0/1
+matrices, and a spanning forest of the links goes on. So every pair that shares enough prefix shingles is
+verified, while a group of thousands of near copies sends each text to a few tiles, and its pairs are
+never rows. Components of all verified links follow.
 
 Defined cases: texts that are null or have no words have the empty set and link with nothing; shorter
 texts than five words are one shingle; rows with equal ids or equal texts are rows of one class; a null
@@ -29,12 +32,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm.components import components
 from seamark.llm.shingles import set_key, shingle_set
-from seamark.llm.store import drop, written
+from seamark.llm.store import drop, release, written
 
 SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
 MOST_MATCHES = 16
@@ -42,6 +46,7 @@ SMALL = 8
 POSTINGS_A_BUCKET, POSTINGS_A_FLUSH = 400_000, 1_500_000
 VERIFY_COST, POSTING_COST = 0.05, 1.0
 NO_ID = -(2**63)
+GROUP, BLOCK, BLOCK_KEYS, COLUMNS = 256, 512, 400_000, 8192
 #: Ids up to which the list of texts to fetch is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -152,7 +157,7 @@ def post_batches(common, bits: int):
     return run
 
 
-#: kind 0: pair a, b sharing `hits` prefix keys here, `need` in all; 1: star pair a (hub), b; 2: posting of class a under key b, size `hits`.
+#: kind 0: pair a, b sharing `hits` prefix keys here, `need` in all; 1: class b, of `hits` shingles, is in the family of a.
 FOUND = "kind byte, a long, b long, hits int, need int"
 _FOUND = pa.schema([("kind", pa.int8()), ("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int32()), ("need", pa.int32())])
 
@@ -200,84 +205,118 @@ def pair_lists(group: pa.Table) -> pa.Table:
         out.append(found_table(0, *counted(*(np.concatenate(x) for x in zip(*pairs, strict=True)))))
     big = np.flatnonzero(~small)
     if len(big):
-        # the first of the list that is not too short: positions in (list, size) order
-        place = run[big] * (1 << 32) + sizes[big]
-        hub = big[np.searchsorted(place, run[big] * (1 << 32) + least_overlap(sizes[big]))]
-        far = classes[hub] != classes[big]
-        out.append(found_table(1, *counted(classes[hub[far]], classes[big[far]], np.ones(int(far.sum()), np.int32))))
-        out.append(found_table(2, classes[big], keys[big].view(np.int64), sizes[big], needs[big]))
+        head, member = classes[start[run[big]]], np.lexsort((classes[big], classes[start[run[big]]]))
+        head, own, size = head[member], classes[big][member], sizes[big][member]
+        new = np.r_[True, (head[1:] != head[:-1]) | (own[1:] != own[:-1])]
+        out.append(found_table(1, head[new], own[new], size[new], np.zeros(int(new.sum()), np.int32)))
     return pa.concat_tables(out) if out else _FOUND.empty_table()
 
 
-def cross_lists(group: pa.Table) -> pa.Table:
-    """Postings with labels of one bucket to pairs of fitting size in different components."""
-    column = lambda name: group.column(name).to_numpy()
-    order = np.lexsort((column("size"), column("label"), column("key")))
-    keys, labels, sizes, classes, needs = (column(x)[order] for x in ("key", "label", "size", "class", "need"))
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[start[1:], len(keys)]
-    mixed = labels[start] != labels[ends - 1]
-    out, pairs, waiting = [], [], 0
-
-    def close() -> None:
-        if pairs:
-            out.append(found_table(0, *counted(*(np.concatenate(x) for x in zip(*pairs, strict=True)))))
-            pairs.clear()
-
-    for s, e in zip(start[mixed].tolist(), ends[mixed].tolist(), strict=True):
-        for i in range(s, e):
-            after = np.searchsorted(labels[s:e], labels[i], side="right") + s
-            j = after + np.flatnonzero((4 * np.minimum(sizes[after:e], sizes[i]) >= 3 * np.maximum(sizes[after:e], sizes[i])))
-            if len(j):
-                x = np.full(len(j), classes[i])
-                pairs.append((np.minimum(x, classes[j]), np.maximum(x, classes[j]), np.minimum(needs[j], needs[i])))
-                waiting += len(j)
-                if waiting > 1_000_000:
-                    close()
-                    waiting = 0
-    close()
-    return pa.concat_tables(out) if out else _FOUND.empty_table()
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many keys each set of left shares with each of right."""
+    own = lambda sets: np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    total = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        keys = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(common, keys), max(0, len(common) - 1))
+        there = common[at] == keys if len(common) else np.zeros(len(keys), bool)
+        order = np.argsort(at[there], kind="stable")
+        sides.append((at[there][order], own(sets)[there][order]))
+    for lo in range(0, len(common), COLUMNS):
+        block = []
+        for (at, row), n in zip(sides, total.shape, strict=True):
+            part = slice(np.searchsorted(at, lo), np.searchsorted(at, lo + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(common) - lo)), np.float32)
+            m[row[part], at[part] - lo] = 1
+            block.append(m)
+        total += block[0] @ block[1].T
+    return total
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links (rows with columns of one matrix of all vertices)."""
+    left, out = set(range(len(links))), []
+    while left:
+        front = [left.pop()]
+        while front:
+            x = front.pop()
+            for y in np.flatnonzero(links[x]).tolist():
+                if y in left:
+                    left.discard(y)
+                    out.append((x, y))
+                    front.append(y)
+    return out
+
+
+def compare_tile(group: pa.Table) -> pa.Table:
+    """The texts of two blocks of a family (or of one) to a spanning forest of their links."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    rows = {c: (b, t) for c, b, t in zip(*(group.column(n).to_pylist() for n in ("class", "block", "text")), strict=True)}
+    classes = sorted(rows)
+    sets = [shingle_set(unpack(rows[c][1]).decode()) for c in classes]
+    n = np.array([len(x) for x in sets])
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left, right = (np.array([k for k, c in enumerate(classes) if rows[c][0] == b], np.int64) for b in (i, j))
+    links = np.zeros((len(classes), len(classes)), bool)
+    if len(left) and len(right):
+        shared = overlaps([sets[k] for k in left], [sets[k] for k in right])
+        good = (shared > 0) & (100 * shared >= 75 * (n[left][:, None] + n[right] - shared))
+        links[np.ix_(left, right)] = good
+        links |= links.T
+        np.fill_diagonal(links, False)
+    found = forest(links)
+    return pa.table([pa.array([classes[x] for x, _ in found], pa.int64()), pa.array([classes[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+
+def shorten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, text) of fetched documents, without those whose text is of another class, compressed to be sent."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        good = [set_key(shingle_set(t)) == c for c, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode()) if g else None for t, g in zip(texts, good, strict=True)], pa.binary())], names=["class", "text"]).filter(pa.array(good, pa.bool_()))
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text_a, text_b) to the pairs that link."""
-    kept: dict[int, np.ndarray] = {}
-
-    def keys_of(own: int, text: str) -> np.ndarray:
-        if own not in kept:
-            if len(kept) >= 256:
-                kept.pop(next(iter(kept)))
-            kept[own] = shingle_set(text)
-        return kept[own]
-
+    """(a, class, text), sorted by a with a's own text first, to the pairs a, class that link."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    hub, keys = None, None
     for batch in batches:
-        a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-        good = [linked(keys_of(p, s), keys_of(q, t)) for p, q, s, t in zip(a, b, x, y, strict=True)]
+        good = []
+        for a, own, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            mine = shingle_set(unpack(text).decode())
+            if own == a:
+                hub, keys = a, mine
+            good.append(own != a and hub == a and linked(keys, mine))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, text of the documents that stand for their classes. reps: rep, class. An id's other texts drop out by their class."""
-
-    def right_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [set_key(shingle_set(t)) == c for t, c in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
+def fetched(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, text (compressed) of the wanted classes."""
+    reps = written(classes.join(wanted.distinct(), "class").select("rep", "class"), "jaccard-wanted")
     few = reps.count() <= BROADCAST_IDS
-    found = docs.join(F.broadcast(reps) if few else reps, docs["id"] == reps["rep"]).select("rep", "class", "text")
-    return found.mapInArrow(right_class, "rep long, class long, text string")
+    return docs.join(F.broadcast(reps) if few else reps, docs["id"] == reps["rep"]).select("class", "text").mapInArrow(shorten_batches, "class long, text binary")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The links among pairs (a, b of classes), as written rows of classes."""
-    ends = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = written(texts_of(docs, written(classes.join(ends, "class").select("rep", "class"), "jaccard-ends")).groupBy("class").agg(F.first("text").alias("text")), "jaccard-texts")
-    with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    links = written(both.select("a", "b", "text_a", "text_b").mapInArrow(verify_batches, "a long, b long"), "jaccard-links")
-    drop(texts)
-    return links
+    """The links among pairs (a, b of classes), written. Whole texts go to the a's they are compared with, at most about GROUP to a task's group."""
+    groups = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
+    sent = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("class"))
+    sent = written(sent.unionAll(groups.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("class"))), "jaccard-sent")
+    routed = fetched(docs, classes, sent.select("class")).join(sent, "class").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("class") != F.col("a"))
+    return written(routed.select("a", "class", "text").mapInArrow(verify_batches, "a long, b long"), "jaccard-links")
+
+
+def family_links(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """members: family, class, size. A spanning forest of the links within each pair of a family's blocks, written."""
+    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_KEYS)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = written(tiles.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class"), "jaccard-tiles")
+    routed = fetched(docs, classes, sent.select("class")).join(sent, "class")
+    return written(routed.groupBy("family", "i", "j").applyInArrow(compare_tile, "a long, b long"), "jaccard-forest")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -292,27 +331,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bits = max(0, int(np.ceil(np.log2(max(1.0, postings)))))
     posted = docs.select("text").mapInArrow(post_batches(common, bits), "bucket int, keys binary, classes binary, sizes binary, needs binary")
     found = written(posted.groupBy("bucket").applyInArrow(pair_lists, FOUND), "jaccard-found")
-    pairs = written(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")), "jaccard-pairs")
-    first = written(pairs.filter("hits >= need").select("a", "b").unionAll(found.filter("kind = 1").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "jaccard-first")
-    links = verified(first, classes, docs)
-    labels = components(links)
-    # long lists: pairs across components that no list has had verified yet
-    label_of = classes.join(labels, classes["class"] == labels["vertex"], "left").select("class", F.coalesce("label", "class").alias("label"))
-    listed = found.filter("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("key"), F.col("hits").cast("long").alias("size"), "need").join(label_of, "class")
-    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
-    across = written(listed.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(cross_lists, FOUND), "jaccard-across")
-    if not across.isEmpty():
-        side = lambda x: label_of.select(F.col("class").alias(x), F.col("label").alias(f"label_{x}"))
-        seen = pairs.join(across.select("a", "b").distinct(), ["a", "b"], "left_semi").select("a", "b", "hits", "need")
-        total = across.select("a", "b", "hits", "need").unionAll(seen).groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).filter("hits >= need")
-        later = written(total.select("a", "b").join(first, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").filter("label_a <> label_b").select("a", "b"), "jaccard-later")
-        if not later.isEmpty():
-            labels = components(links.unionAll(verified(later, classes, docs)))
+    del posted
+    release(spark)
+    pairs = written(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).filter("hits >= need").select("a", "b"), "jaccard-pairs")
+    members = written(found.filter("kind = 1").groupBy(F.col("a").alias("family"), F.col("b").alias("class")).agg(F.first("hits").alias("size")), "jaccard-members")
+    drop(found)
+    release(spark)
+    links = verified(pairs, classes, docs)
+    release(spark)
+    labels = components(links.unionAll(family_links(members, classes, docs)))
+    release(spark)
     label_of = classes.join(labels, classes["class"] == labels["vertex"], "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
     least = label_of.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = written(label_of.join(least, "label").select("class", "component_id"), "jaccard-components")
-    drop(found)
-    drop(pairs)
     result = rows.join(of_class, "class", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return result.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))

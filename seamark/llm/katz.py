@@ -27,7 +27,6 @@ empty text. Only id and text are read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.shingles import mixed, word_keys, words_of
-from seamark.llm.store import drop, written
+from seamark.llm.shingles import mixed, word_keys
+from seamark.llm.store import drop, release, written
 
-CHUNK, KEYS_A_BUCKET, K = 2_500_000, 400_000, 5
+CHUNK, KEYS_A_BUCKET, K = 2_000_000, 400_000, 5
 FOLDS, HELD = 7, 2
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +113,7 @@ def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for own, fold, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             ids.append(own)
             held.append(fold)
-            parts.append(np.concatenate([word_keys(words_of(text)), end]))
+            parts.append(np.concatenate([word_keys(text), end]))
             tokens += len(parts[-1])
             if tokens >= CHUNK:
                 yield close()
@@ -361,12 +360,6 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
-def release(docs: DataFrame) -> None:
-    """Lets Spark delete the shuffle files of frames that are gone."""
-    gc.collect()
-    docs.sparkSession._jvm.System.gc()
-
-
 def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows that are not held out and scores all: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = held_out(F.col(id_col)) if held is None else held
@@ -377,14 +370,15 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     questions = chunks.mapInArrow(ask_batches(bits), QUESTIONS)
     counts = written(questions.groupBy("kind", "bucket").applyInArrow(answer, ANSWERS).select(*[x.split()[0] for x in ANSWERS.split(", ")]), "katz-model", ["part"])
     del questions
-    release(docs)
+    release(docs.sparkSession)
     model = summed(counts)
     answers = counts.filter("part = 'answers'").select("chunk", "kind", "bucket", "numbers", "extra")
     scored = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk(model, bits), SCORED), "katz-scored", ["part"])
-    release(docs)
+    del answers
     drop(chunks)
+    release(docs.sparkSession)
     weighed = written(scored.filter("part in ('sums', 'wants')").groupBy("bucket").applyInArrow(weigh, WEIGHED), "katz-weights", ["part"])
-    release(docs)
+    release(docs.sparkSession)
     more = weighed.filter("part = 'rows'").groupBy("row").agg(F.sort_array(F.collect_list("more")).alias("more")).select("row", F.aggregate("more", F.lit(0.0), lambda a, x: a + x).alias("more"))
     result = scored.filter("part = 'rows'").join(more, "row", "left")
     return result.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
