@@ -8,7 +8,7 @@ least overlap m = ceil(0.75 n), two linked sets share at least L shingles among
 each, for any L up to m; where two documents chose different L, the lesser holds for both. Each class
 chooses its L by cost: longer prefixes mean more postings, but more shared shingles are then required
 before two sets are compared. The cost uses a sketch of how many classes hold each shingle. The sketch
-has a fixed size (SKETCH counters, less their mean) and only guides the order and the choice of L: the
+has a fixed size (2**SKETCH_BITS counters, less the usual one) and only guides the order and the choice of L: the
 result is the same whatever it says.
 
 Postings are grouped by bits of the shingle's key. A list of up to SMALL classes gives its pairs, which
@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm.components import components
-from seamark.llm.shingles import set_key, shingle_set
+from seamark.llm.shingles import mixed, set_key, shingle_set
 from seamark.llm.store import drop, release, written
 
-SKETCH_BITS, SKETCH_BLOCK = 20, 1 << 14
+SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 MOST_MATCHES = 16
 SMALL = 8
 POSTINGS_A_BUCKET, POSTINGS_A_FLUSH = 400_000, 1_500_000
@@ -77,7 +77,7 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(counts, (keys >> shift).astype(np.int64), 1)
         k = len(sizes)
         yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-    blocks = [(i, b) for i, b in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if b.any()]
+    blocks = [(i, b.astype(np.min_scalar_type(int(b.max())))) for i, b in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if b.any()]
     k = len(blocks)
     if k:
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([b.tobytes() for _, b in blocks], pa.binary())], names=names)
@@ -88,41 +88,42 @@ def add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            block = np.frombuffer(data, np.int32 if len(data) == 4 * SKETCH_BLOCK else np.int64)
+            block = np.frombuffer(data, f"u{len(data) // SKETCH_BLOCK}")
             total[i] = total[i] + block if i in total else block.astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([b.tobytes() for b in total.values()], pa.binary())], names=["block", "counts"])
 
 
-def estimates(parts: DataFrame) -> np.ndarray:
-    """For each counter, about how many classes hold a shingle counted there, 0 within the noise."""
-    rows = parts.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(add_sketches, "block int, counts binary").collect()  # at most SKETCH_BITS' counters in all
+def levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter, a level of how far it is above the usual one, and for each level, about how many classes hold such a shingle."""
+    rows = parts.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(add_sketches, "block int, counts binary").toLocalIterator()  # 8 bytes for each of the counters in all
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         total[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] += np.frombuffer(r["counts"], np.int64)
-    usual = np.median(total)
-    above = total - usual
-    return np.where(above > 6 * np.sqrt(usual) + 8, above, 0).astype(np.float32)
+    usual = float(np.median(total))
+    spread = max(1.0, usual**0.5)
+    above = np.maximum(total - usual, 0) / spread
+    level = np.where(above >= 1, 1 + np.floor(2 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+    held = spread * 2.0 ** ((np.arange(256) - 1) / 2)
+    held[: 1 + int(2 * np.log2(4))] = 0  # within the noise
+    return level, held
 
 
-def prefix(keys: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(keys: np.ndarray, level: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, int]:
     """The prefix's keys and the shared ones it requires."""
     n, m = len(keys), least_overlap(len(keys))
-    held = common[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    if not held.any():
-        return keys[: n - m + 1], 1
-    level = np.log2(1 + held).astype(np.int64)
-    order = np.lexsort((keys, level))
+    own = level[(keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.argsort(own, kind="stable")  # keys ascend within a level
     most = min(MOST_MATCHES, m)
-    reach = n - m + np.arange(1, most + 1)
-    load = np.cumsum(held[order])[reach - 1]
     matches = np.arange(1, most + 1)
+    reach = n - m + matches
+    load = np.cumsum(held[own[order[: reach[-1]]]])[reach - 1]
     best = int(np.argmin(POSTING_COST * (reach + load) + VERIFY_COST * n * load / matches**2))
     return keys[order[: reach[best]]], int(matches[best])
 
 
 def post_batches(common, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = common.value, set()
+        (level, held_by), seen = common.value, set()
         held: list[tuple[np.ndarray, int, int, int]] = []
         waiting = 0
 
@@ -144,7 +145,7 @@ def post_batches(common, bits: int):
                 own = set_key(keys)
                 if len(keys) and own not in seen:
                     seen.add(own)
-                    first, need = prefix(keys, table)
+                    first, need = prefix(keys, level, held_by)
                     held.append((first, own, len(keys), need))
                     waiting += len(first)
             if waiting >= POSTINGS_A_FLUSH:
@@ -175,7 +176,7 @@ def counted(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray,
 
 
 def pair_lists(group: pa.Table) -> pa.Table:
-    """One bucket's postings to FOUND."""
+    """One bucket's postings to pairs and families, dealt to parts."""
     column = lambda name, t: np.frombuffer(b"".join(group.column(name).to_pylist()), t)
     keys, classes, sizes, needs = column("keys", np.uint64), column("classes", np.int64), column("sizes", np.int32), column("needs", np.uint8)
     order = np.argsort(keys, kind="stable")
@@ -190,7 +191,7 @@ def pair_lists(group: pa.Table) -> pa.Table:
     again[1:] = (keys[1:] == keys[:-1]) & (classes[1:] == classes[:-1])
     keys, classes, sizes, needs = keys[~again], classes[~again], sizes[~again], needs[~again]
     if not len(keys):
-        return _FOUND.empty_table()
+        return _DEALT.empty_table()
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     length = np.diff(np.r_[start, len(keys)])
     run = np.repeat(np.arange(len(start)), length)
@@ -209,7 +210,44 @@ def pair_lists(group: pa.Table) -> pa.Table:
         head, own, size = head[member], classes[big][member], sizes[big][member]
         new = np.r_[True, (head[1:] != head[:-1]) | (own[1:] != own[:-1])]
         out.append(found_table(1, head[new], own[new], size[new], np.zeros(int(new.sum()), np.int32)))
-    return pa.concat_tables(out) if out else _FOUND.empty_table()
+    return dealt(pa.concat_tables(out), group.column("parts")[0].as_py()) if out else _DEALT.empty_table()
+
+
+#: Packed rows of FOUND, dealt to as many parts as there are buckets.
+DEALT = "part int, kind binary, a binary, b binary, hits binary, need binary"
+_DEALT = pa.schema([("part", pa.int32()), *((f.name, pa.binary()) for f in _FOUND)])
+
+
+def dealt(found: pa.Table, parts: int) -> pa.Table:
+    part = (mixed(found.column("a").to_numpy().view(np.uint64) ^ mixed(found.column("b").to_numpy().view(np.uint64))) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True))
+    columns = [found.column(f.name).to_numpy()[order] for f in _FOUND]
+    return pa.table([pa.array(part[starts].astype(np.int32)), *(pa.array([c[s:e].tobytes() for s, e in spans], pa.binary()) for c in columns)], schema=_DEALT)
+
+
+def merge_part(group: pa.Table) -> pa.Table:
+    """What all buckets say of this part's pairs and families, each once; pairs without enough hits drop out."""
+    kind, a, b, hits, need = (np.frombuffer(b"".join(group.column(f.name).to_pylist()), f.type.to_pandas_dtype()) for f in _FOUND)
+    pair = kind == 0
+    x, y, times, least = added(a[pair], b[pair], hits[pair], need[pair])
+    enough = times >= least
+    f, c, _, _ = added(a[~pair], b[~pair], hits[~pair], need[~pair])
+    size = dict(zip(b[~pair].tolist(), hits[~pair].tolist(), strict=True))
+    sizes = np.array([size[k] for k in c.tolist()], np.int32)
+    return pa.concat_tables([found_table(0, x[enough], y[enough], times[enough], least[enough]), found_table(1, f, c, sizes, np.zeros(len(c), np.int32))])
+
+
+def added(a: np.ndarray, b: np.ndarray, hits: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs with their hits added up, and their need."""
+    if not len(a):
+        return a, b, hits, need
+    order = np.lexsort((b, a))
+    a, b, hits, need = a[order], b[order], hits[order], need[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], np.add.reduceat(hits, first), need[first]
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -325,17 +363,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     parts = written(docs.mapInArrow(read_batches, "id long, n long, class long, block int, counts binary"), "jaccard-read")
     rows = parts.filter("block is null").select("id", "n", "class")
-    common = spark.sparkContext.broadcast(estimates(parts))  # 4 bytes for each of the sketch's counters
+    common = spark.sparkContext.broadcast(levels(parts))  # a byte for each of the sketch's counters
     classes = written(rows.filter("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "jaccard-classes")
     postings = (classes.agg(F.sum(F.col("n") / 4 + 2)).first()[0] or 0) / POSTINGS_A_BUCKET
     bits = max(0, int(np.ceil(np.log2(max(1.0, postings)))))
     posted = docs.select("text").mapInArrow(post_batches(common, bits), "bucket int, keys binary, classes binary, sizes binary, needs binary")
-    found = written(posted.groupBy("bucket").applyInArrow(pair_lists, FOUND), "jaccard-found")
-    del posted
+    seen = posted.withColumn("parts", F.lit(1 << bits)).groupBy("bucket").applyInArrow(pair_lists, DEALT)
+    found = written(seen.groupBy("part").applyInArrow(merge_part, FOUND), "jaccard-found")
+    del posted, seen
     release(spark)
-    pairs = written(found.filter("kind = 0").groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).filter("hits >= need").select("a", "b"), "jaccard-pairs")
-    members = written(found.filter("kind = 1").groupBy(F.col("a").alias("family"), F.col("b").alias("class")).agg(F.first("hits").alias("size")), "jaccard-members")
-    drop(found)
+    pairs = found.filter("kind = 0").select("a", "b")
+    members = found.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("class"), F.col("hits").alias("size"))
     release(spark)
     links = verified(pairs, classes, docs)
     release(spark)
