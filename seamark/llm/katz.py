@@ -42,6 +42,7 @@ from seamark.llm.store import drop, release, written
 
 CHUNK, KEYS_A_BUCKET, K = 2_000_000, 400_000, 5
 FOLDS, HELD = 7, 2
+NO_ID = -(2**63)
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -363,7 +364,7 @@ def held_out(key: Column) -> Column:
 def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learns from the rows that are not held out and scores all: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = held_out(F.col(id_col)) if held is None else held
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     chunks = written(rows.mapInArrow(chunk_batches, CHUNKS), "katz-chunks")
     tokens = chunks.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens / KEYS_A_BUCKET)))))
@@ -381,4 +382,4 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     release(docs.sparkSession)
     more = weighed.filter("part = 'rows'").groupBy("row").agg(F.sort_array(F.collect_list("more")).alias("more")).select("row", F.aggregate("more", F.lit(0.0), lambda a, x: a + x).alias("more"))
     result = scored.filter("part = 'rows'").join(more, "row", "left")
-    return result.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
