@@ -48,7 +48,7 @@ HTML = """<html><head><title>A page</title><meta property="og:image" content="/o
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "https://site.test/index", HTML), (2, "https://site.test/in", "<title>Sign in</title><input type=password><a href=/x>x</a>"), (3, "https://site.test/", None)], "page_id long, url string, html string")
     found = {r["page_id"]: (r["outcome"], r["images"], r["links"]) for r in pages.outcomes(rows).collect()}
-    assert found == {1: ("parsed", 9, 4), 2: ("login_blocked", 0, 0), 3: ("parsed", 0, 0)}
+    assert found == {1: ("parsed", 10, 4), 2: ("login_blocked", 0, 0), 3: ("parsed", 0, 0)}
 
 
 def png(w, h, pad=2000):
