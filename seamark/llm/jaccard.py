@@ -5,8 +5,8 @@ form one class first, and classes are joined.
 
 All shingles have one global order: by a level of how common they are, then by key. With n shingles and
 least overlap m = ceil(0.75 n), two linked sets share at least L shingles among the first n - m + L of
-each, for any L up to m; where two documents chose different L, the lesser holds for both. Each class
-chooses its L by cost: longer prefixes mean more postings, but more shared shingles are then required
+each, for any L up to m; where two documents chose different L, the lesser holds for both, and their
+sizes may ask for more (required()). Each class chooses its L by cost: longer prefixes mean more postings, but more shared shingles are then required
 before two sets are compared. The cost uses a sketch of how many classes hold each shingle. The sketch
 has a fixed size (2**SKETCH_BITS counters, less the usual one) and only guides the order and the choice of L: the
 result is the same whatever it says.
@@ -175,6 +175,12 @@ def counted(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> tuple[np.ndarray,
     return a[first], b[first], np.diff(np.r_[first, len(a)]), need[first]
 
 
+def required(n_x: np.ndarray, need_x: np.ndarray, n_y: np.ndarray, need_y: np.ndarray) -> np.ndarray:
+    """Prefix keys that linked sets must share. Beyond the prefix that ends first in the order there is room for at most least_overlap(n) - need shared keys, and links share ceil(3 (n_x + n_y) / 7)."""
+    shared = -(-3 * (n_x + n_y) // 7)
+    return np.maximum(np.minimum(need_x, need_y), shared - np.maximum(least_overlap(n_x) - need_x, least_overlap(n_y) - need_y))
+
+
 def pair_lists(group: pa.Table) -> pa.Table:
     """One bucket's postings to pairs and families, dealt to parts."""
     column = lambda name, t: np.frombuffer(b"".join(group.column(name).to_pylist()), t)
@@ -201,7 +207,7 @@ def pair_lists(group: pa.Table) -> pa.Table:
         i = np.flatnonzero(small[:-d] & (run[:-d] == run[d:])) if len(run) > d else np.zeros(0, np.int64)
         i = i[4 * sizes[i] >= 3 * sizes[i + d]]
         x, y = classes[i], classes[i + d]
-        pairs.append((np.minimum(x, y), np.maximum(x, y), np.minimum(needs[i], needs[i + d])))
+        pairs.append((np.minimum(x, y), np.maximum(x, y), required(sizes[i], needs[i].astype(np.int64), sizes[i + d], needs[i + d].astype(np.int64))))
     if any(len(p[0]) for p in pairs):
         out.append(found_table(0, *counted(*(np.concatenate(x) for x in zip(*pairs, strict=True)))))
     big = np.flatnonzero(~small)
