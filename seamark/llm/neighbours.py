@@ -1,7 +1,7 @@
 """Nearest neighbours by a block matrix join.
 
-Candidates are dealt to `ceil(n / TILE)` lanes and queries to `ceil(queries / QUERY_TILE)`; each pair of a
-candidate lane and a query lane is one tile, so a task holds one tile whatever the table's size. Within a
+Candidates are dealt by a hash of their id to `ceil(n / TILE)` lanes and queries to `ceil(queries / QUERY_TILE)`;
+each pair of a candidate lane and a query lane is one tile, so a task holds one tile whatever the table's size. Within a
 tile, vectors are rounded to int8 with a scale each. The product of the int8 matrices gives the distance
 of the rounded vectors, and the rounding errors' lengths bound how far the true one can be from it. Pairs
 whose least possible distance is above the k-th least of the greatest possible ones drop out; the rest
@@ -106,7 +106,8 @@ def search(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id
     rows = rows.groupBy("id", "asks").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
     lanes, query_lanes = max(1, math.ceil(n / TILE)), max(1, math.ceil(asking / QUERY_TILE))
-    dealt = lambda df, m: df.withColumn("own", (F.monotonically_increasing_id() % F.lit(m)).cast("int"))
+    # by a hash of the id, so that a task run again after a lost executor deals its rows to the same lanes
+    dealt = lambda df, m: df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(m)).cast("int"))
     spread = lambda df, m: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     candidates = spread(dealt(rows, lanes), query_lanes).select("dim", F.col("own").alias("lane"), F.col("other").alias("query_lane"), "id", "vector")
     queries = spread(dealt(rows.filter("asks"), query_lanes), lanes).select("dim", F.col("other").alias("lane"), F.col("own").alias("query_lane"), "id", "vector")
