@@ -93,9 +93,8 @@ class Ledger:
     def update(self, docs: DataFrame, text_col: str = "text", version: str = RULE_VERSION) -> None:
         """Scans the blobs of docs that this rule version has not seen."""
         texts = docs.select(blob_of(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        unseen = texts.join(self.scanned(version), "blob", "left_anti")
-        # one row a blob: partial aggregation drops repeats before the shuffle, however many copies there are
-        once = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+        # one row a blob before the join: partial aggregation drops repeats before the shuffle, however many copies there are
+        once = texts.groupBy("blob").agg(F.first("text").alias("text")).join(self.scanned(version), "blob", "left_anti")
         known = self.scanned(version)
         new = texts.select("blob").distinct().join(known, "blob", "left_anti")
         once.mapInArrow(scan_batches, FINDINGS).withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(f"{self.path}/findings")
