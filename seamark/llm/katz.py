@@ -252,9 +252,9 @@ def summed(counts: DataFrame) -> Model:
 
 # --- scores
 
-#: part: `rows` (what is known of a row without weights), `sums` (a context's count, lost mass and met words' probability) or `wants` (rows of this bucket's contexts that need the weight).
-SCORED = "part string, bucket int, row long, id long, held boolean, n_tokens long, n_known long, base_score double, score double, keys binary, a binary, b binary, c binary"
-_SCORED = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("row", pa.int64()), ("id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), *((x, pa.binary()) for x in ("keys", "a", "b", "c"))])
+#: part: `rows` (what is known of a row without weights; a row is its chunk and its place there), `sums` (a context's count, lost mass and met words' probability) or `wants` (rows of this bucket's contexts that need the weight).
+SCORED = "part string, bucket int, chunk long, row int, id long, held boolean, n_tokens long, n_known long, base_score double, score double, keys binary, a binary, b binary, c binary"
+_SCORED = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), *((x, pa.binary()) for x in ("keys", "a", "b", "c"))])
 
 
 def parts_table(part: str, **columns) -> pa.Table:
@@ -290,8 +290,8 @@ def score_chunk(model: Model, bits: int):
             logs = np.log10(np.where(met > 0, (met - model.second.lose(met)) / before, chance[chunk.word]))
         add = lambda x: np.bincount(chunk.row, weights=x, minlength=n)
         base = np.log10((c + 1) / (model.tokens + model.kinds + 1))
-        rows = (row["chunk"] << 24) + np.arange(n)
-        out = [parts_table("rows", row=rows, id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(logs))]
+        of_chunk = lambda k: np.full(k, row["chunk"], np.int64)
+        out = [parts_table("rows", chunk=of_chunk(n), row=np.arange(n, dtype=np.int32), id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(logs))]
 
         # each pair met counts once for its context, in the chunk that accounts for it
         first = np.zeros(len(chunk.pairs), np.int64)
@@ -314,23 +314,23 @@ def score_chunk(model: Model, bits: int):
         keys, of = keys[order], chunk.row[wanting][order]
         buckets, starts, stops = cut(keys, bits)
         spans = list(zip(starts.tolist(), stops.tolist(), strict=True))
-        out.append(parts_table("wants", bucket=buckets.astype(np.int32), row=np.full(len(spans), row["chunk"] << 24, np.int64), keys=[pack_keys(keys[s:e]) for s, e in spans], a=[pack(of[s:e]) for s, e in spans]))
+        out.append(parts_table("wants", bucket=buckets.astype(np.int32), chunk=of_chunk(len(spans)), keys=[pack_keys(keys[s:e]) for s, e in spans], a=[pack(of[s:e]) for s, e in spans]))
         return pa.concat_tables(out)
 
     return run
 
 
 #: part: `weights` (the model's: keys, numbers) or `rows` (what a row's weights in this bucket add to its score).
-WEIGHED = "part string, bucket int, keys binary, numbers binary, row long, more double"
-_WEIGHED = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("row", pa.int64()), ("more", pa.float64())])
+WEIGHED = "part string, bucket int, keys binary, numbers binary, chunk long, row int, more double"
+_WEIGHED = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("chunk", pa.int64()), ("row", pa.int32()), ("more", pa.float64())])
 
 
 def weigh(group: pa.Table) -> pa.Table:
     """One bucket of contexts: their weights, and what they add to each row."""
-    group = group.sort_by([("part", "ascending"), ("row", "ascending")])
+    group = group.sort_by([("part", "ascending"), ("chunk", "ascending")])
     bucket = group.column("bucket")[0].as_py()
     parts = group.column("part").to_pylist()
-    blobs = {n: group.column(n).to_pylist() for n in ("keys", "a", "b", "c", "row")}
+    blobs = {n: group.column(n).to_pylist() for n in ("keys", "a", "b", "c", "chunk")}
     sums, wants = ([i for i, p in enumerate(parts) if p == x] for x in ("sums", "wants"))
     if not sums:
         return _WEIGHED.empty_table()
@@ -346,14 +346,14 @@ def weigh(group: pa.Table) -> pa.Table:
         total.append(np.bincount(which[order], weights=x[order], minlength=len(keys)))
     lost, seen = total
     weight = (lost / counts) / np.maximum(1 - seen, 1e-300)
-    out = [pa.table([pa.array(["weights"]), pa.array([bucket], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64())], schema=_WEIGHED)]
+    out = [pa.table([pa.array(["weights"]), pa.array([bucket], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64())], schema=_WEIGHED)]
     logs = np.log10(weight)
     for i in wants:
         rows = unpack(blobs["a"][i])
         more = np.bincount(rows, weights=logs[np.searchsorted(keys, unpack_keys(blobs["keys"][i]))])
         hit = np.unique(rows)
         k = len(hit)
-        out.append(pa.table([pa.array(["rows"] * k), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(blobs["row"][i] + hit), pa.array(more[hit])], schema=_WEIGHED))
+        out.append(pa.table([pa.array(["rows"] * k), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([blobs["chunk"][i]] * k, pa.int64()), pa.array(hit.astype(np.int32)), pa.array(more[hit])], schema=_WEIGHED))
     return pa.concat_tables(out)
 
 
@@ -380,6 +380,6 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     release(docs.sparkSession)
     weighed = written(scored.filter("part in ('sums', 'wants')").groupBy("bucket").applyInArrow(weigh, WEIGHED), "katz-weights", ["part"])
     release(docs.sparkSession)
-    more = weighed.filter("part = 'rows'").groupBy("row").agg(F.sort_array(F.collect_list("more")).alias("more")).select("row", F.aggregate("more", F.lit(0.0), lambda a, x: a + x).alias("more"))
-    result = scored.filter("part = 'rows'").join(more, "row", "left")
+    more = weighed.filter("part = 'rows'").groupBy("chunk", "row").agg(F.sort_array(F.collect_list("more")).alias("more")).select("chunk", "row", F.aggregate("more", F.lit(0.0), lambda a, x: a + x).alias("more"))
+    result = scored.filter("part = 'rows'").join(more, ["chunk", "row"], "left")
     return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))

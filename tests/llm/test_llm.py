@@ -84,6 +84,12 @@ def test_katz(spark, table):
         assert math.isclose(r["base_score"], e[3], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r["score"], e[4], rel_tol=1e-7, abs_tol=1e-7)
 
 
+def test_katz_many_partitions(spark, docs):
+    """Rows of more than 128 partitions score as those of one."""
+    near = lambda frame: sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.6f}", f"{r['score']:.6f}") for r in frame.collect())
+    assert near(katz.score(docs.repartition(140))) == near(katz.score(docs.coalesce(1)))
+
+
 def test_mixing(spark, table):
     found = mixing.mix(table)
     got = found.collect()
