@@ -363,8 +363,8 @@ def family_links(members: DataFrame, classes: DataFrame, docs: DataFrame) -> Dat
     return written(routed.groupBy("family", "i", "j").applyInArrow(compare_tile, "a long, b long"), "jaccard-forest")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: id, n_shingles, component_id (the least id that links reach, its own included)."""
+def labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """A row per document (id, n, class), and a row per class that has shingles (class, its least id rep, its component's label)."""
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     parts = written(docs.mapInArrow(read_batches, "id long, n long, class long, block int, counts binary"), "jaccard-read")
@@ -385,7 +385,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     release(spark)
     labels = components(links.unionAll(family_links(members, classes, docs)))
     release(spark)
-    label_of = classes.join(labels, classes["class"] == labels["vertex"], "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
+    return rows, classes.join(labels, classes["class"] == labels["vertex"], "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, n_shingles, component_id (the least id that links reach, its own included)."""
+    rows, label_of = labelled(docs, id_col, text_col)
     least = label_of.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = written(label_of.join(least, "label").select("class", "component_id"), "jaccard-components")
     result = rows.join(of_class, "class", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -393,7 +398,31 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return result.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
 
 
+def class_batches(text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with the number of shingles and the class of their text."""
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column(text_col).to_pylist()]
+            more = [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__n", "__class"])
+
+    return run
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: the one whose id is the component's. Rows of equal ids stay only once if their texts are in one class."""
-    kept = join(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """docs with one row of each component: one whose id is the component's, of the least class, and of equal ones the least row. Rows without words are components of their own."""
+    rows, label_of = labelled(docs, id_col, text_col)
+    least = label_of.groupBy("label").agg(F.min("rep").alias("least"))
+    leaders = label_of.join(least, "label").filter("rep = least").groupBy("label").agg(F.min("rep").alias("__id"), F.min("class").alias("__class"))
+    leaders = written(leaders.select("__id", "__class"), "jaccard-leaders")
+    repeated = written(rows.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("k")).filter("k > 1").select("__id"), "jaccard-repeated")
+    own = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    # an id of one row names the row; rows that share an id are told apart by their texts
+    kept = rows.filter("n = 0").select(F.col("id").alias("__id")).unionAll(leaders.select("__id")).join(repeated, "__id", "left_anti")
+    single = own.join(kept, "__id", "left_semi").select(*docs.columns)
+    shared = own.join(repeated, "__id", "left_semi").select(*docs.columns, "__id")
+    names = [*docs.schema.fields, *shared.select("__id").schema.fields]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in names) + ", __n long, __class long"
+    classed = shared.mapInArrow(class_batches(text_col), schema)
+    first = classed.filter("__n > 0").join(leaders, ["__id", "__class"], "left_semi").groupBy("__id", "__class").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return single.unionAll(classed.filter("__n = 0").select(*docs.columns)).unionAll(first)

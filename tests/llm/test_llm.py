@@ -148,6 +148,19 @@ def test_jaccard_families(spark, monkeypatch):
     assert multiset(map(tuple, found.collect())) == multiset(brute_components(rows))
 
 
+def test_deduplicated_rows(spark):
+    """One row of each group stays, whatever ids rows share or lack."""
+    near, other, third, fourth = (" ".join(f"{x}{i}" for i in range(60)) for x in "nopq")
+    rows = [(1, near, "b"), (1, near, "a"), (1, near.upper(), "a"), (2, near + " tail", "a"), (2, other, "a"), (9, third + " tail", "a"), (3, third, "a"), (9, "one two", "a")]
+    rows += [(None, fourth, "a"), (None, fourth, "a"), (7, fourth, "a"), (None, fourth + " tail", "a"), (None, "a b", "a"), (None, "a  b", "a"), (5, "", "a"), (5, None, "a"), (6, "", "a"), (8, "alone", "a")]
+    found = [tuple(r) for r in jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()]
+    assert all(r in rows for r in found)
+    key = lambda i, t: (i, (t or "").lower().replace(" tail", "").split()[:2])
+    assert multiset(key(i, t) for i, t, _ in found) == multiset(key(*r) for r in [(1, near), (2, other), (3, third), (9, "one two"), (None, fourth), (None, "a b"), (5, ""), (5, None), (6, ""), (8, "alone")])
+    again = jaccard.deduplicated(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string"))
+    assert multiset(map(tuple, again.collect())) == multiset(found)
+
+
 def test_forest_and_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "a long, b long")
     assert {(r["vertex"], r["label"]) for r in components.components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
