@@ -369,6 +369,16 @@ def _(s, d):
     return frontier.expand(log.filter("id < 20").select(F.col("domain").alias("url")), links, 2)
 
 
+EVERY_LINK = "l AS (SELECT DISTINCT regexp_replace(lower(domain), '^www\\.', '') AS src, 'd' || (id % 150) || '.example.com' AS dst FROM v_crawl_log)"
+
+
+@query("q9_expand_all", f"WITH {EVERY_LINK}, z AS (SELECT DISTINCT domain AS url FROM v_domains WHERE seed_rank IS NOT NULL), o AS (SELECT DISTINCT dst AS url FROM z JOIN l ON src = url), t AS (SELECT DISTINCT dst AS url FROM o JOIN l ON src = url) SELECT url, min(depth) AS depth FROM (SELECT url, 0 AS depth FROM z UNION ALL SELECT url, 1 FROM o UNION ALL SELECT url, 2 FROM t) GROUP BY 1")
+def _(s, d):
+    """From every seed, by the links of every row."""
+    links = v.crawl_log(s, d).select(exprs.fallback_canonical(F.col("domain")).alias("src"), F.concat(F.lit("d"), F.col("id") % 150, F.lit(".example.com")).alias("dst")).distinct()
+    return frontier.expand(v.domains(s, d).filter("seed_rank is not null").select(F.col("domain").alias("url")), links, 2)
+
+
 @query("f17_content_paths", "SELECT id, substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || sha256 AS path FROM v_images")
 def _(s, d):
     return v.images(s, d).select("id", exprs.content_path(F.col("sha256")).alias("path"))
