@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamark.conf import EngineConf
 from seamark.functions import exprs
 from seamark.operators import domains as dom
 from seamark.operators import frontier, images, pages, reports
@@ -334,6 +335,12 @@ def _(s, d):
     return frontier.capped(v.crawl_log(s, d), "domain", ["crawled_at", "id"], 10).select("id", "domain")
 
 
+@query("wn2_capped_queue_1000", "SELECT id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY crawled_at, id) AS k FROM v_crawl_log) WHERE k <= 1000")
+def _(s, d):
+    """With the reference's cap."""
+    return frontier.capped(v.crawl_log(s, d), "domain", ["crawled_at", "id"], EngineConf().frontier_cap).select("id", "domain")
+
+
 @query("wn5_blocked_after", "SELECT id, errors_so_far::BIGINT AS errors_so_far, errors_so_far >= 3 AS blocked FROM (SELECT id, sum(coalesce(status IN (403, 429, 503), FALSE)::INTEGER) OVER (PARTITION BY domain ORDER BY crawled_at, id ROWS UNBOUNDED PRECEDING) AS errors_so_far FROM v_crawl_log)")
 def _(s, d):
     return frontier.blocked_after(v.crawl_log(s, d), "domain", ["crawled_at", "id"]).select("id", "errors_so_far", "blocked")

@@ -95,6 +95,14 @@ def test_checkpoint_and_resume(spark):
     assert sorted((r["domain"], r["url"], r["depth"]) for r in back.collect()) == [("d", "https://d/a", 2), ("d", "https://d/b", 0), ("e", "https://e", 0)]
 
 
+def test_cap_of_the_reference(spark, tmp_path):
+    from seamark.plans import queries as plans
+
+    spark.range(1500).selectExpr("id as event_id", "1L as user_id", "'view' as event_type", "timestamp_ntz '2024-01-01' as ts", "1.0D as value").selectExpr("event_id * 21 + 1 as event_id", "user_id", "event_type", "ts", "value").write.parquet(str(tmp_path / "events.parquet"))
+    kept = [r["id"] for r in plans.QUERIES["wn2_capped_queue_1000"](spark, str(tmp_path)).collect()]
+    assert sorted(kept) == [i * 21 + 1 for i in range(1000)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from seamark.operators import reports
     from seamark.streaming import throughput
