@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seamark.functions.exprs import canonical_ascii
+from seamark.functions.exprs import SUFFIXES, canonical_ascii, registrable
 
 
 def idna_host(host: str | None) -> str | None:
@@ -28,15 +28,27 @@ def idna_host(host: str | None) -> str | None:
         return host
 
 
+def canonical_host(url: str) -> str | None:
+    """canonical_domain() of one text."""
+    host = url.strip().lower().partition("://")[2] or url.strip().lower()
+    for mark in "/?#":
+        host = host.partition(mark)[0]
+    name, colon, port = host.rpartition(":")
+    if colon and port in ("80", "443") and not host.startswith("["):
+        host = name
+    return idna_host(host.rstrip(".").removeprefix("www.")) or None
+
+
 @F.pandas_udf(T.StringType())
 def to_idna(hosts: pd.Series) -> pd.Series:
     return hosts.map(idna_host, na_action="ignore")
 
 
-def canonical_domain(url: Column) -> Column:
-    """ASCII hosts stay in the JVM; only others go through the UDF."""
+def canonical_domain(url: Column, strip_subdomains: bool = False, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """ASCII hosts stay in the JVM; only others go through the UDF. With strip_subdomains, the registrable domain."""
     host = canonical_ascii(url)
-    return F.when(host.rlike(r"^[\x00-\x7F]*$"), host).otherwise(to_idna(host))
+    whole = F.when(host.rlike(r"^[\x00-\x7F]*$"), host).otherwise(to_idna(host))
+    return registrable(whole, suffixes) if strip_subdomains else whole
 
 
 @F.pandas_udf(T.StringType())
@@ -107,36 +119,43 @@ def parsed_html(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([references(h) for h in html], columns=["refs", "login"])
 
 
-def image_info(data: bytes | None) -> tuple[int | None, int | None, str | None]:
-    """Width, height and format from the headers of PNG, JPEG and WEBP."""
-    none = (None, None, None)
+#: Colour types of PNG, and numbers of components of JPEG, by mode.
+PNG_MODES = {0: "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
+JPEG_MODES = {1: "L", 3: "RGB", 4: "CMYK"}
+
+
+def image_info(data: bytes | None) -> tuple[int | None, int | None, str | None, str | None]:
+    """Width, height, format and mode from the headers of PNG, JPEG, MPO (a JPEG with an index of several pictures) and WEBP."""
+    none = (None, None, None, None)
     if not data:
         return none
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR" and len(data) >= 24:
-        return (*struct.unpack(">II", data[16:24]), "PNG")
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and data[12:16] == b"IHDR" and len(data) >= 26:
+        return (*struct.unpack(">II", data[16:24]), "PNG", "1" if data[24] == 1 and data[25] == 0 else PNG_MODES.get(data[25]))
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP" and len(data) >= 30:
         kind = data[12:16]
         if kind == b"VP8X":
-            return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1, "WEBP"
+            return int.from_bytes(data[24:27], "little") + 1, int.from_bytes(data[27:30], "little") + 1, "WEBP", "RGBA" if data[20] & 16 else "RGB"
         if kind == b"VP8L":
             bits = int.from_bytes(data[21:25], "little")
-            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "WEBP"
+            return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, "WEBP", "RGBA" if bits >> 28 & 1 else "RGB"
         w, h = struct.unpack("<HH", data[26:30])
-        return w & 0x3FFF, h & 0x3FFF, "WEBP"
+        return w & 0x3FFF, h & 0x3FFF, "WEBP", "RGB"
     if data[:2] == b"\xff\xd8":
-        at = 2
+        at, kind = 2, "JPEG"
         while at + 9 < len(data) and data[at] == 0xFF:
             mark, size = data[at + 1], int.from_bytes(data[at + 2 : at + 4], "big")
+            if mark == 0xE2 and data[at + 4 : at + 8] == b"MPF\0":
+                kind = "MPO"
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return w, h, "JPEG"
+                return w, h, kind, JPEG_MODES.get(data[at + 9])
             at += 2 + size
     return none
 
 
-@F.pandas_udf(T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("format", T.StringType()))
+@F.pandas_udf(T.StructType().add("width", T.IntegerType()).add("height", T.IntegerType()).add("format", T.StringType()).add("mode", T.StringType()))
 def image_header(data: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([image_info(x) for x in data], columns=["width", "height", "format"]).astype({"width": "Int32", "height": "Int32"})
+    return pd.DataFrame([image_info(x) for x in data], columns=["width", "height", "format", "mode"]).astype({"width": "Int32", "height": "Int32"})
 
 
 def png_luma(data: bytes) -> np.ndarray | None:

@@ -83,12 +83,29 @@ def may_move(old: Column, new: Column) -> Column:
     return F.concat_ws(">", old, new).isin(*[f"{a}>{b}" for a, bs in exprs.MOVES.items() for b in bs])
 
 
-def release(domains: DataFrame, requests: DataFrame) -> DataFrame:
-    """requests: id, worker, expected_version, new_status. Adds `applied`; refused rows stay as they are."""
-    r = domains.join(requests, "id", "left")
-    move = F.col("new_status").isNull() | (F.col("new_status") == F.col("status")) | may_move(F.col("status"), F.col("new_status"))
-    ok = F.coalesce((F.col("claimed_by") == F.col("worker")) & (F.col("version") == F.col("expected_version")) & move, F.lit(False))
-    out = {"status": F.when(ok, F.coalesce("new_status", "status")).otherwise(F.col("status")), "claimed_by": F.when(~ok, F.col("claimed_by")), "claim_expires_at": F.when(~ok, F.col("claim_expires_at")), "version": F.col("version") + ok.cast("int"), "applied": ok}
+def release(domains: DataFrame, requests: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """requests: id, worker, expected_version, new_status (null: stay), one a domain. Further columns named like a column of
+    domains with _delta after it add to it (null: nothing), those named like a column replace it. Adds `applied`.
+
+    A release holds only for the claim's owner at the expected version and, if the state changes, by an allowed move; it
+    clears the claim, sets last_crawled_at and counts the version up once. Refused rows stay as they are.
+    """
+    fixed = ("id", "worker", "expected_version", "new_status")
+    more = [c for c in requests.columns if c not in fixed]
+    unknown = [c for c in more if c.removesuffix("_delta") not in domains.columns]
+    if unknown:
+        raise ValueError(f"no such columns of domains: {unknown}")
+    asked = requests.select("id", *[F.col(c).alias(f"__{c}") for c in (*fixed[1:], *more)])
+    r = domains.join(asked, "id", "left")
+    move = F.col("__new_status").isNull() | may_move(F.col("status"), F.col("__new_status"))
+    ok = F.coalesce((F.col("claimed_by") == F.col("__worker")) & (F.col("version") == F.col("__expected_version")) & move, F.lit(False))
+    out = {"status": F.when(ok, F.coalesce("__new_status", "status")).otherwise(F.col("status")), "claimed_by": F.when(~ok, F.col("claimed_by")), "claim_expires_at": F.when(~ok, F.col("claim_expires_at")), "version": F.col("version") + ok.cast("int"), "applied": ok}
+    if as_of is not None:
+        out["last_crawled_at"] = F.when(ok, as_of.cast(domains.schema["last_crawled_at"].dataType)).otherwise(F.col("last_crawled_at"))
+    for c in more:
+        name = c.removesuffix("_delta")
+        new = F.col(name) + F.coalesce(F.col(f"__{c}"), F.lit(0)) if c.endswith("_delta") else F.col(f"__{c}")
+        out[name] = F.when(ok, new).otherwise(F.col(name)).cast(domains.schema[name].dataType)
     return r.withColumns(out).select(*domains.columns, "applied")
 
 
@@ -103,8 +120,91 @@ def force_release(domains: DataFrame, which: Column) -> DataFrame:
     return domains.withColumns({"released": hit, "claimed_by": F.when(~hit, F.col("claimed_by")), "claim_expires_at": F.when(~hit, F.col("claim_expires_at"))})
 
 
+#: What a reset sets to zero and to null. next_crawl_after stays.
+RESET_ZERO = ("pages_crawled", "pages_discovered", "images_found", "images_stored", "total_error_count", "consecutive_error_count", "frontier_size")
+RESET_NULL = ("image_yield_rate", "last_crawled_at", "last_crawl_run_id", "frontier_checkpoint_id", "claimed_by", "claim_expires_at", "block_reason", "block_reason_code")
+
+
 def reset(domains: DataFrame, which: Column) -> DataFrame:
-    zero = ("pages_discovered", "pages_crawled", "images_found", "images_stored", "total_error_count")
-    out = {c: F.when(which, F.lit(0).cast(domains.schema[c].dataType)).otherwise(F.col(c)) for c in zero}
-    out |= {c: F.when(~which, F.col(c)) for c in ("claimed_by", "claim_expires_at", "last_crawled_at", "next_crawl_after")}
-    return domains.withColumns(out | {"status": F.when(which, "pending").otherwise(F.col("status")), "version": F.col("version") + which.cast("int")})
+    """The chosen domains as if new, one version up; columns that the frame lacks are left out."""
+    hit = F.coalesce(which, F.lit(False))
+    out = {c: F.when(hit, F.lit(0).cast(domains.schema[c].dataType)).otherwise(F.col(c)) for c in RESET_ZERO if c in domains.columns}
+    out |= {c: F.when(~hit, F.col(c)) for c in RESET_NULL if c in domains.columns}
+    return domains.withColumns(out | {"status": F.when(hit, "pending").otherwise(F.col("status")), "version": F.col("version") + hit.cast("int")})
+
+
+def replaced(state: DataFrame, sets: DataFrame, key: str = "domain", keep_null: bool = True) -> DataFrame:
+    """sets: one row a key with columns of state to be replaced; nulls keep the old value unless keep_null is False."""
+    names = [c for c in sets.columns if c != key]
+    joined = state.join(sets.select(key, F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in names]), key, "left")
+    pick = lambda c: F.coalesce(f"__{c}", c) if keep_null else F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c))
+    return joined.withColumns({c: pick(c).cast(state.schema[c].dataType) for c in names}).select(state.columns)
+
+
+def update_stats(state: DataFrame, deltas: DataFrame, as_of: Column, sets: DataFrame | None = None) -> DataFrame:
+    """apply_deltas, then the absolute values of `sets` (nulls keep the old ones) and last_crawled_at of every domain named."""
+    named = deltas.select("domain").distinct().withColumn("last_crawled_at", as_of)
+    out = replaced(apply_deltas(state, deltas), named)
+    return replaced(out, sets) if sets is not None else out
+
+
+def increment_claimed(domains: DataFrame, deltas: DataFrame, as_of: Column) -> DataFrame:
+    """deltas: id, worker, crawl_run_id (null keeps the old) and columns to add. Only domains that the worker holds change;
+    pages_discovered, the yield and the version do not. Adds `applied`."""
+    names = [c for c in deltas.columns if c not in ("id", "worker", "crawl_run_id")]
+    asked = deltas.groupBy("id", "worker").agg(F.max("crawl_run_id").alias("__run"), *[F.sum(c).alias(f"__{c}") for c in names])
+    r = domains.join(asked, (domains["id"] == asked["id"]) & (domains["claimed_by"] == asked["worker"]), "left").drop(asked["id"])
+    ok = F.col("worker").isNotNull()
+    out = {c: (F.col(c) + F.coalesce(F.col(f"__{c}"), F.lit(0))).cast(domains.schema[c].dataType) for c in names}
+    out |= {"last_crawled_at": F.when(ok, as_of.cast(domains.schema["last_crawled_at"].dataType)).otherwise(F.col("last_crawled_at")), "last_crawl_run_id": F.coalesce("__run", "last_crawl_run_id"), "applied": ok}
+    return r.withColumns(out).select(*domains.columns, "applied")
+
+
+def set_checkpoints(domains: DataFrame, saved: DataFrame, as_of: Column) -> DataFrame:
+    """saved: domain, frontier_checkpoint_id, frontier_size. The domains named take them and are active again."""
+    return replaced(domains, saved.withColumns({"frontier_updated_at": as_of, "status": F.lit("active")}))
+
+
+def clear_checkpoints(domains: DataFrame, names: DataFrame, as_of: Column) -> DataFrame:
+    """names: domain. Their checkpoints are forgotten."""
+    gone = names.select("domain").distinct().withColumns({"frontier_checkpoint_id": F.lit(None).cast("string"), "frontier_size": F.lit(0), "frontier_updated_at": as_of})
+    return replaced(domains, gone, keep_null=False)
+
+
+def touched(old: DataFrame, new: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """new with updated_at set where any other column differs from old's row, and where there is none."""
+    names = [c for c in new.columns if c not in (key, "updated_at")]
+    before = old.select(key, F.struct(*names).alias("__before"))
+    changed = F.col("__before").isNull() | ~F.struct(*names).eqNullSafe(F.col("__before"))
+    return new.join(before, key, "left").withColumn("updated_at", F.when(changed, as_of).otherwise(F.col("updated_at"))).select(new.columns)
+
+
+def with_images_stored(domains: DataFrame, provenance: DataFrame) -> DataFrame:
+    """domains with images_stored from provenance, where it has any."""
+    return replaced(domains, images_stored(provenance).select("domain", "images_stored"))
+
+
+def by_status(domains: DataFrame, status: str, n: int = 50) -> DataFrame:
+    """The first n of a state: highest score, then longest not crawled."""
+    return domains.filter(F.col("status") == status).orderBy(F.col("priority_score").desc_nulls_first(), F.col("last_crawled_at").asc_nulls_first(), "domain").limit(n)
+
+
+def claims_of(domains: DataFrame, worker: str) -> DataFrame:
+    """A worker's claims, the first to expire first."""
+    return domains.filter(F.col("claimed_by") == worker).select("id", "domain", "status", "pages_crawled", "claim_expires_at").orderBy(F.col("claim_expires_at").asc_nulls_last(), "domain")
+
+
+def recalculated(domains: DataFrame, as_of: Column) -> DataFrame:
+    """domains with rates, scores and priority_computed_at; blocked and unreachable ones keep what they have."""
+    return replaced(domains, scored(domains, as_of).select("domain", "image_yield_rate", "error_rate", "priority_score").withColumn("priority_computed_at", as_of), keep_null=False)
+
+
+def refresh_candidates(domains: DataFrame, as_of: Column, n: int) -> DataFrame:
+    """Extension (a design of the reference that it does not run): exhausted domains that are due, best yield first."""
+    due = domains.filter((F.col("status") == "exhausted") & (F.col("next_crawl_after") < as_of))
+    return due.orderBy(F.col("image_yield_rate").desc_nulls_last(), F.col("last_crawled_at").asc_nulls_last(), "domain").limit(n)
+
+
+def top_by_yield(domains: DataFrame, n: int = 20) -> DataFrame:
+    """Extension: domains by image yield."""
+    return domains.orderBy(F.col("image_yield_rate").desc_nulls_last(), "domain").limit(n)

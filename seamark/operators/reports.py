@@ -104,3 +104,87 @@ def run_totals(log: DataFrame) -> DataFrame:
 def counters(outcomes: DataFrame, reasons: DataFrame, column: str = "reason") -> DataFrame:
     """Counts by reason, zero where none occurred."""
     return reasons.join(outcomes.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def hash_coverage(images: DataFrame) -> DataFrame:
+    """One row: images, those with each perceptual hash, and their percentages (0 without images)."""
+    n = F.count("*")
+    part = lambda c, name: [F.count(c).alias(f"{name}_count"), F.coalesce(F.try_divide(100.0 * F.count(c), n.cast("double")), F.lit(0.0)).alias(f"{name}_pct")]
+    return images.agg(n.alias("total"), *part("phash_hash", "phash"), *part("dhash_hash", "dhash"))
+
+
+def summary_totals(domains: DataFrame) -> DataFrame:
+    """summary() with a row TOTAL of all states, from the same counts."""
+    rows = summary(domains)
+    total = rows.agg(F.lit("TOTAL").alias("status"), F.coalesce(F.sum("domains"), F.lit(0)).alias("domains"), F.lit(None).cast("int").alias("avg_pages"), F.coalesce(F.sum("total_images"), F.lit(0)).alias("total_images"))
+    return rows.unionByName(total)
+
+
+def recent_progress(domains: DataFrame, as_of: Column, minutes: int = 30) -> DataFrame:
+    """Claimed domains that were crawled lately."""
+    since = as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    return domains.filter(F.col("claimed_by").isNotNull() & (F.col("last_crawled_at") >= since))
+
+
+def backfill_coverage(log: DataFrame, domains: DataFrame) -> DataFrame:
+    """One row: domains in the log, backfilled ones, all."""
+    a = log.agg(F.count_distinct("domain").alias("crawl_log_domains"))
+    return a.crossJoin(domains.agg(F.count_if(F.col("source").startswith("backfill")).alias("backfilled_domains"), F.count("*").alias("total_domains")))  # one row each
+
+
+def yield_by_status(domains: DataFrame) -> DataFrame:
+    """Backfilled domains by state."""
+    return domains.filter(F.col("source").startswith("backfill")).groupBy("status").agg(F.count("*").alias("domain_count"), F.avg("image_yield_rate").alias("avg_yield"), F.avg("pages_crawled").alias("avg_pages"))
+
+
+def crawl_statistics(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """One row for a crawl. pages: crawled_at, status, images_found, error_message; items: outcome, file_size. A page failed if it has an error message."""
+    failed = F.col("error_message").isNotNull()
+    seconds = (F.unix_micros(F.max("crawled_at").cast("timestamp")) - F.unix_micros(F.min("crawled_at").cast("timestamp"))) / F.lit(1e6)
+    a = pages.agg(F.round(seconds, 2).alias("duration_seconds"), F.count_if(~failed).alias("pages_crawled"), F.count_if(failed).alias("pages_failed"), F.coalesce(F.sum(F.when(~failed, F.col("images_found"))), F.lit(0)).alias("images_discovered"))
+    new = F.col("outcome").isin("inserted", "overwritten")
+    b = items.agg(F.count_if(new).alias("images_downloaded"), F.count_if(F.col("outcome") == "skipped").alias("images_skipped"), F.count_if(F.col("outcome") == "failed").alias("images_failed"), F.count_if(F.col("outcome") == "deduplicated").alias("images_deduplicated"), F.coalesce(F.sum(F.when(new, F.col("file_size"))), F.lit(0)).alias("total_bytes"))
+    return a.crossJoin(b).withColumn("error_count", F.col("pages_failed") + F.col("images_failed"))  # one row each
+
+
+def runs_listed(runs: DataFrame, n: int = 10) -> DataFrame:
+    return runs.orderBy(F.col("started_at").desc_nulls_first(), "id").limit(n)
+
+
+def analysis(images: DataFrame, provenance: DataFrame, log: DataFrame, runs: DataFrame) -> dict:
+    """What the written report shows, as small collected rows: every frame here has one row, ten, or one for each kind of value."""
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    shown = images.withColumnRenamed("file_size_bytes", "size")
+    both = shown.filter("width is not null and height is not null")
+    joined = images.join(provenance.select(F.col("image_id").alias("id"), "source_domain", F.col("discovered_at").alias("found_at")), "id", "left")
+    return {
+        "totals": rows(totals(images, provenance, log))[0], "top_domains": rows(top(provenance, "source_domain", "n")), "top_pages": rows(top(provenance, "source_page_url", "n")),
+        "formats": sorted(rows(share(images, "format", F.coalesce("format", F.lit("unknown")), "format_name")), key=lambda r: (-r["n"], r["format_name"])), "dimensions": rows(spread(both, "width", "height"))[0], "sizes": rows(spread(shown, "size"))[0],
+        "success": rows(share(images, "download_success", F.col("download_success"), "success")), "hashes": rows(hash_coverage(images))[0], "statuses": sorted(rows(status_buckets(log)), key=lambda r: r["bucket"]),
+        "samples": rows(joined.orderBy(F.col("found_at").desc_nulls_last(), "id").select("source_domain", "url", "format", "width", "height", "file_size_bytes").limit(10)), "latest_run": (rows(runs_listed(runs, 1)) or [None])[0],
+    }
+
+
+def markdown(data: dict, title: str) -> str:
+    """The report of analysis() as Markdown."""
+    t, d, z, h = data["totals"], data["dimensions"], data["sizes"], data["hashes"]
+    images, statuses = t["total_images"], sum(r["n"] for r in data["statuses"])
+    pct = lambda n, of: f"{100 * n / of if of else 0:.1f}%"
+    out = [f"# {title}", "", "## Crawl Configuration"]
+    if run := data["latest_run"]:
+        out += [f"- **Crawl Run ID**: `{run['id']}`", f"- **Started**: {run['started_at']}", *([f"- **Completed**: {run['completed_at']}"] if run["completed_at"] else []), f"- **Mode**: {run['mode']}"]
+    success = next((r["percentage"] for r in data["success"] if r["success"]), 0)
+    out += ["", "## Key Findings", "", f"- **{images} unique images** indexed", f"- **{t['pages']} pages** crawled across **{t['unique_domains']} unique domains**", f"- **{t['images_found'] or 0} images found** in total ({t['images_downloaded'] or 0} passed validation)", f"- **{success}% download success rate**"]
+    out += ["", "### Top Domains", *[f"{i}. **{r['source_domain']}** - {r['n']} images ({pct(r['n'], images)} of total)" for i, r in enumerate(data["top_domains"][:5], 1)]]
+    out += ["", "### Formats", *[f"- **{r['format_name'].upper()}**: {r['percentage']}% ({r['n']} images)" for r in data["formats"]]]
+    if d["avg_width"] is not None:
+        out += ["", "### Dimensions", f"- **Average**: {int(d['avg_width'])}×{int(d['avg_height'])} pixels", f"- **Largest**: {d['max_width']}×{d['max_height']} pixels", f"- **Smallest**: {d['min_width']}×{d['min_height']} pixels"]
+    if z["avg_size"] is not None:
+        out += ["", "### File Sizes", f"- **Average**: {int(z['avg_size'] / 1024)} KB per image", f"- **Largest**: {z['max_size'] / 1048576:.1f} MB", f"- **Smallest**: {z['min_size'] / 1024:.1f} KB"]
+    out += ["", "### Hash Coverage", "- **SHA-256**: 100% (all images)", *[f"- **{n}**: {h[n.lower() + '_pct']:.1f}% ({h[n.lower() + '_count']}/{images} images)" for n in ("pHash", "dHash")]]
+    out += ["", "### Crawl Health", *[f"- **{r['bucket']}**: {r['n']} pages ({pct(r['n'], statuses)})" for r in data["statuses"]]]
+    out += ["", "## Top Pages by Image Count", *[f"{i}. [{r['source_page_url']}]({r['source_page_url']}) - {r['n']} images" for i, r in enumerate(data["top_pages"], 1)]]
+    out += ["", "## Sample Images"]
+    for i, r in enumerate(data["samples"][:5], 1):
+        out += [f"### {i}. {r['source_domain']}", f"- **URL**: {r['url']}", f"- **Format**: {r['format']}", f"- **Dimensions**: {r['width']}×{r['height']} pixels", f"- **Size**: {(r['file_size_bytes'] or 0) / 1024:.1f} KB"]
+    return "\n".join(out) + "\n"

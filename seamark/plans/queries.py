@@ -86,11 +86,6 @@ def _(s, d):
     return reports.status_buckets(v.crawl_log(s, d))
 
 
-@query("a9_hash_coverage", "SELECT count(*) AS total, count(height) AS filled, coalesce(round(100.0::DOUBLE * count(height) / nullif(count(*), 0), 2), 0) AS percentage FROM v_images")
-def _(s, d):
-    return reports.coverage(v.images(s, d), "height")
-
-
 BACKFILL = "SELECT domain, pages_discovered, pages_crawled, images_found, total_error_count::BIGINT AS errors, first_seen_at, last_crawled_at, CASE WHEN total_error_count > 0.5 * pages_discovered THEN 'blocked' ELSE 'exhausted' END AS status FROM v_raw"
 
 
@@ -157,12 +152,6 @@ def _(s, d):
     return reports.run_totals(v.crawl_log(s, d))
 
 
-@query("a23_outcome_counters", "SELECT reason, count(bucket) AS n FROM (VALUES ('2xx Success'), ('3xx Redirect'), ('4xx Client Error'), ('5xx Server Error'), ('Other'), ('never')) t(reason) LEFT JOIN (SELECT " + BUCKET + " AS bucket FROM v_crawl_log) ON bucket = reason GROUP BY 1")
-def _(s, d):
-    reasons = s.createDataFrame([(x,) for x in ("2xx Success", "3xx Redirect", "4xx Client Error", "5xx Server Error", "Other", "never")], "reason string")
-    return reports.counters(v.crawl_log(s, d).select(exprs.status_bucket(F.col("status")).alias("reason")), reasons)
-
-
 @query("a24_domain_counters", "SELECT domain, count(*) AS pages, sum(images_found)::BIGINT AS images, count(*) FILTER (status >= 400) AS errors FROM v_crawl_log GROUP BY 1")
 def _(s, d):
     from seamark.streaming.throughput import domain_counters
@@ -225,13 +214,6 @@ def _(s, d):
 MOVES = ", ".join(f"'{a}>{b}'" for a, bs in exprs.MOVES.items() for b in bs)
 
 
-@query("c3_release", f"SELECT domain, CASE WHEN ok THEN new_status ELSE status END AS status, CASE WHEN NOT ok THEN claimed_by END AS claimed_by, version + ok::INTEGER AS version, ok AS applied FROM (SELECT *, coalesce(claimed_by = 'worker-' || (id % 2) AND (status = new_status OR status || '>' || new_status IN ({MOVES})), FALSE) AS ok FROM (SELECT *, CASE WHEN id % 2 = 0 THEN 'active' ELSE 'exhausted' END AS new_status FROM v_domains))")
-def _(s, d):
-    domains = v.domains(s, d)
-    asked = domains.select("id", F.concat(F.lit("worker-"), F.col("id") % 2).alias("worker"), F.col("version").alias("expected_version"), F.when(F.col("id") % 2 == 0, "active").otherwise("exhausted").alias("new_status"))
-    return dom.release(domains, asked).select("domain", "status", "claimed_by", "version", "applied")
-
-
 @query("c4_transitions", f"SELECT a.status AS old_status, b.status AS new_status, a.status || '>' || b.status IN ({MOVES}) AS allowed FROM (SELECT DISTINCT status FROM v_domains) a, (SELECT DISTINCT status FROM v_domains) b")
 def _(s, d):
     states = v.domains(s, d).select("status").distinct()
@@ -280,16 +262,11 @@ def _(s, d):
     return dom.apply_deltas(state, state.select("domain", F.lit(5).alias("pages_crawled")), guard=F.col("claimed_by") == "worker-1").select("domain", "pages_crawled")
 
 
-@query("w13_reset", "SELECT domain, CASE WHEN id % 3 = 0 THEN 0 ELSE pages_crawled END AS pages_crawled, CASE WHEN id % 3 = 0 THEN 'pending' ELSE status END AS status, version + (id % 3 = 0)::INTEGER AS version FROM v_domains")
-def _(s, d):
-    return dom.reset(v.domains(s, d), F.col("id") % 3 == 0).select("domain", "pages_crawled", "status", "version")
-
-
 @query("w5_store_outcomes", "WITH old AS (SELECT url, sha256 FROM v_images WHERE id % 2 = 0), a AS (SELECT id AS seq, CASE WHEN id % 5 = 0 THEN url || '?v=2' ELSE url END AS url, sha256 FROM v_images) SELECT seq, a.url, a.sha256, CASE WHEN o.sha256 = a.sha256 THEN 'deduplicated' WHEN o.sha256 IS NOT NULL THEN 'overwritten' WHEN a.sha256 IN (SELECT sha256 FROM old) OR row_number() OVER (PARTITION BY a.sha256 ORDER BY seq) > 1 THEN 'deduplicated' ELSE 'inserted' END AS outcome FROM a LEFT JOIN old o ON o.url = a.url")
 def _(s, d):
     rows = v.images(s, d)
     arrivals = rows.select(F.col("id").alias("seq"), F.when(F.col("id") % 5 == 0, F.concat("url", F.lit("?v=2"))).otherwise(F.col("url")).alias("url"), "sha256")
-    return images.store(rows.filter("id % 2 = 0"), arrivals)
+    return images.store(rows.filter("id % 2 = 0"), arrivals).drop("image_url")
 
 
 @query("x_exact_duplicates", "SELECT sha256, count(*) AS n, min(id) AS first_id FROM v_images GROUP BY 1 HAVING count(*) > 1")
@@ -300,26 +277,6 @@ def _(s, d):
 PHASH = "WITH h AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[1:32], lambda x: (x > 0)::BIGINT)), lambda a, x: a * 2 + x) AS high, list_reduce(list_prepend(0::BIGINT, list_transform(embedding[33:64], lambda x: (x > 0)::BIGINT)), lambda a, x: a * 2 + x) AS low FROM embeddings) "
 
 
-@query("f11_hash_halves", PHASH + "SELECT vec_id, high, low FROM h")
-def _(s, d):
-    return images.hash_halves(v.table(s, d, "embeddings"))
-
-
-@query("j9_near_images_ext", PHASH + "SELECT a.vec_id AS a, b.vec_id AS b, (bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)))::INTEGER AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.high, b.high)) + bit_count(xor(a.low, b.low)) <= 10")
-def _(s, d):
-    return images.near_duplicates(images.hash_halves(v.table(s, d, "embeddings")))
-
-
-@query("h2_links", "SELECT page_id, (generate_subscripts(l, 1) - 1)::INTEGER AS ordinal, unnest(l) AS link FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*?href=\"([^\"]*)\"', 1) AS l FROM pages)")
-def _(s, d):
-    return frontier.extracted_links(v.table(s, d, "pages"))
-
-
-@query("h3_page_outcomes")
-def _(s, d):
-    return pages.outcomes(v.table(s, d, "pages"))
-
-
 @query("f2_page_domains", "SELECT nullif(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '') AS domain, count(*) AS pages FROM pages GROUP BY 1")
 def _(s, d):
     return frontier.domain_pages(v.table(s, d, "pages"))
@@ -330,11 +287,6 @@ def _(s, d):
     return frontier.budgeted(v.crawl_log(s, d), "domain", ["crawled_at", "id"], 5).select("id", "domain", "follows")
 
 
-@query("wn2_capped_queue", "SELECT id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY crawled_at, id) AS k FROM v_crawl_log) WHERE k <= 10")
-def _(s, d):
-    return frontier.capped(v.crawl_log(s, d), "domain", ["crawled_at", "id"], 10).select("id", "domain")
-
-
 @query("wn2_capped_queue_1000", "SELECT id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY crawled_at, id) AS k FROM v_crawl_log) WHERE k <= 1000")
 def _(s, d):
     """With the reference's cap."""
@@ -366,14 +318,6 @@ def _(s, d):
     return frontier.first_seen(v.crawl_log(s, d).select("page_url", "id"), "page_url", "id")
 
 
-LINKS = "l AS (SELECT DISTINCT domain AS src, 'd' || (id % 150) || '.example.com' AS dst FROM v_crawl_log WHERE id % 40 = 0)"
-
-
-@query("q9_expand", f"WITH {LINKS}, z AS (SELECT DISTINCT domain AS url FROM v_crawl_log WHERE id < 20), o AS (SELECT DISTINCT dst AS url FROM z JOIN l ON src = url), t AS (SELECT DISTINCT dst AS url FROM o JOIN l ON src = url) SELECT url, min(depth) AS depth FROM (SELECT url, 0 AS depth FROM z UNION ALL SELECT url, 1 FROM o UNION ALL SELECT url, 2 FROM t) GROUP BY 1")
-def _(s, d):
-    log = v.crawl_log(s, d)
-    links = log.filter("id % 40 = 0").select(F.col("domain").alias("src"), F.concat(F.lit("d"), F.col("id") % 150, F.lit(".example.com")).alias("dst")).distinct()
-    return frontier.expand(log.filter("id < 20").select(F.col("domain").alias("url")), links, 2)
 
 
 EVERY_LINK = "l AS (SELECT DISTINCT regexp_replace(lower(domain), '^www\\.', '') AS src, 'd' || (id % 150) || '.example.com' AS dst FROM v_crawl_log)"

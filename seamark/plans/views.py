@@ -82,4 +82,62 @@ SQL = SQL.replace("SELECT n AS id, r.*,", "SELECT n AS id, domain, pages_discove
 
 
 def with_views(sql: str) -> str:
-    return "WITH " + SQL.strip().rstrip(",") + (", " + sql[5:] if sql.upper().startswith("WITH ") else "\n" + sql)
+    head, own = ("WITH RECURSIVE ", sql.replace("WITH RECURSIVE ", "WITH ", 1)) if sql.upper().startswith("WITH RECURSIVE ") else ("WITH ", sql)
+    return head + SQL.strip().rstrip(",") + (", " + own[5:] if own.upper().startswith("WITH ") else "\n" + own)
+
+
+
+def full_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """domains with the store's further columns."""
+    n, status = F.col("id"), F.col("status")
+    days = lambda x: F.make_dt_interval(x.cast("int"))
+    return domains(spark, sf_dir).select(
+        "*", (n % 4).cast("int").alias("consecutive_error_count"), F.when(n % 3 == 0, F.concat("domain", F.lit(":run-0"))).alias("frontier_checkpoint_id"), F.when(n % 3 == 0, n % 9 + 1).otherwise(0).cast("int").alias("frontier_size"),
+        F.when(status == "blocked", "Login page").alias("block_reason"), F.when(status == "blocked", F.element_at(F.array(*map(F.lit, ("login_required", "rate_limited", "forbidden"))), (n % 3 + 1).cast("int"))).alias("block_reason_code"),
+        F.when(n % 2 == 0, "backfill_crawl_log").otherwise("seeds").alias("source"), exprs.rate(F.col("images_stored"), F.col("pages_crawled")).alias("image_yield_rate"), F.when(n % 5 != 1, F.concat(F.lit("run-"), n % 2)).alias("last_crawl_run_id"),
+        (F.col("last_crawled_at") + days(n % 30)).alias("due_at"), F.lit(None).cast("timestamp_ntz").alias("frontier_updated_at"), ((n * 37) % 101).cast("int").alias("priority_score"))
+
+
+def close_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawler counted for each domain: the log of every canonical name, links by its number."""
+    return domains(spark, sf_dir).select("domain", F.col("pages_crawled").alias("pages"), "images_found", F.col("total_error_count").cast("long").alias("errors"), (F.col("id") % 23).alias("links_discovered"))
+
+
+def close_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of it was flushed before the close, for two domains of three."""
+    s = domains(spark, sf_dir).filter("id % 3 <> 0")
+    return s.select("domain", F.floor(F.col("pages_crawled") / 2).cast("long").alias("pages"), F.floor(F.col("images_found") / 2).cast("long").alias("images_found"), F.floor(F.col("total_error_count") / 2).cast("long").alias("errors"), (F.col("id") % 23).alias("links_discovered"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image items as the pipeline ends with them: an outcome by the document's number, and a message where it failed."""
+    n = F.col("doc_id")
+    said = F.element_at(F.array(*[F.lit(x) for x in MESSAGES]), (n % len(MESSAGES) + 1).cast("int"))
+    outcome = F.element_at(F.array(*map(F.lit, ("inserted", "failed", "overwritten", "deduplicated", "skipped"))), (n % 5 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(n.alias("id"), outcome.alias("outcome"), F.when(outcome == "failed", said).alias("error_message"), F.col("n_chars").alias("file_size"))
+    return rows
+
+
+#: Messages of failed items: known prefixes, words inside, and none of these.
+MESSAGES = (
+    "unsupported_content_type: image/svg+xml", "missing_content_type", "file_too_small: 500 bytes", "file_too_large: 99999999 bytes", "image_dimensions_too_small: 128x128", "invalid_image_payload", "http_error: 404", "missing_response",
+    "Bad Content-Type seen", "dimension is too small", "way too small", "TOO LARGE", "bad status 500", "some HTTP trouble", "fetch_exception: x", "Some random error message", "",
+)
+
+SQL += r"""
+v_full AS (
+  SELECT *, (id % 4)::INTEGER AS consecutive_error_count, CASE WHEN id % 3 = 0 THEN domain || ':run-0' END AS frontier_checkpoint_id, (CASE WHEN id % 3 = 0 THEN id % 9 + 1 ELSE 0 END)::INTEGER AS frontier_size,
+    CASE WHEN status = 'blocked' THEN 'Login page' END AS block_reason, CASE WHEN status = 'blocked' THEN ['login_required', 'rate_limited', 'forbidden'][(id % 3 + 1)::INTEGER] END AS block_reason_code,
+    CASE WHEN id % 2 = 0 THEN 'backfill_crawl_log' ELSE 'seeds' END AS source, images_stored::DOUBLE / nullif(pages_crawled, 0) AS image_yield_rate, CASE WHEN id % 5 <> 1 THEN 'run-' || (id % 2) END AS last_crawl_run_id,
+    last_crawled_at + to_days((id % 30)::INTEGER) AS due_at, NULL::TIMESTAMP AS frontier_updated_at, ((id * 37) % 101)::INTEGER AS priority_score
+  FROM v_domains),
+v_stats AS (SELECT domain, pages_crawled AS pages, images_found, total_error_count::BIGINT AS errors, id % 23 AS links_discovered FROM v_domains),
+v_flushed AS (SELECT domain, pages_crawled // 2 AS pages, images_found // 2 AS images_found, (total_error_count // 2)::BIGINT AS errors, id % 23 AS links_discovered FROM v_domains WHERE id % 3 <> 0),
+v_left AS (
+  SELECT s.domain, s.pages AS all_pages, s.errors AS all_errors, greatest(s.pages - coalesce(f.pages, 0), 0) AS pages, greatest(s.images_found - coalesce(f.images_found, 0), 0) AS images_found,
+    greatest(s.errors - coalesce(f.errors, 0), 0) AS errors, greatest(s.links_discovered - coalesce(f.links_discovered, 0), 0) AS links_discovered
+  FROM v_stats s LEFT JOIN v_flushed f USING (domain)),
+v_items AS (
+  SELECT id, outcome, CASE WHEN outcome = 'failed' THEN said END AS error_message, file_size
+  FROM (SELECT doc_id AS id, ['inserted', 'failed', 'overwritten', 'deduplicated', 'skipped'][(doc_id % 5 + 1)::INTEGER] AS outcome, n_chars AS file_size, [MESSAGES][(doc_id % N_MESSAGES + 1)::INTEGER] AS said FROM documents)),
+""".replace("N_MESSAGES", str(len(MESSAGES))).replace("MESSAGES", ", ".join(f"'{m}'" for m in MESSAGES))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-VERSION = 1
+VERSION = 2
 TABLES = {
     "images": "id string, url string, sha256_hash string, width int, height int, format string, content_type string, file_size_bytes int, discovered_at timestamp, last_seen_at timestamp, download_success boolean, phash_hash string, dhash_hash string",
     "provenance": "id string, image_id string, source_page_url string, source_domain string, discovered_at timestamp, discovery_type string",
@@ -15,6 +15,9 @@ TABLES = {
     "image_observations": "id string, image_asset_id string, url string, source_page_url string, source_domain string, crawl_run_id string, observed_at timestamp",
     "detections": "id string, image_asset_id string, detection_confidence double, watermark_type string, detected_at timestamp, detector_version string",
     "frontier": "checkpoint_id string, url string, depth int, seq long, expires_at timestamp",
+    "start_urls": "url string, domain_key string, rank long, priority long, source string",
+    "requests": "url string, domain string, priority int, seq long, fingerprint string, crawl_type string",
+    "fingerprints": "fingerprint string",
 }
 
 

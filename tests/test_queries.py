@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from seamark.plans import queries as plans
+from seamark.plans import operations as plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "events documents embeddings pages".split()

@@ -96,7 +96,7 @@ def test_checkpoint_and_resume(spark):
 
 
 def test_cap_of_the_reference(spark, tmp_path):
-    from seamark.plans import queries as plans
+    from seamark.plans import operations as plans
 
     spark.range(1500).selectExpr("id as event_id", "1L as user_id", "'view' as event_type", "timestamp_ntz '2024-01-01' as ts", "1.0D as value").selectExpr("event_id * 21 + 1 as event_id", "user_id", "event_type", "ts", "value").write.parquet(str(tmp_path / "events.parquet"))
     kept = [r["id"] for r in plans.QUERIES["wn2_capped_queue_1000"](spark, str(tmp_path)).collect()]
