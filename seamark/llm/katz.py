@@ -1,46 +1,55 @@
 """Katz backoff language model: training, storage and scoring of whole corpora.
 
-Tokens are the words of a text, A-Z in lower case, then one end. The model has two orders:
-
-    P(w)     = D1(c) c / N, and for words never met the mass that the discounts leave
-    P(w | h) = D2(c) c / c(h) where the pair was met, else weight(h) P(w)
-
-D is the Good-Turing discount with Katz's correction for counts up to K; larger counts lose at most half
-a count (Katz takes nothing), so that every context has mass to give away. A weight is the context's
-discounted mass over the probability of the words never met after it, so each context's probabilities
-add up to one exactly (the word never met included). A context never met has P(w | h) = P(w).
-
-Documents are read once into chunks of about CHUNK tokens. A chunk asks for the counts of its distinct
-words and pairs, as sorted 64-bit keys, cut by leading bits into buckets; a bucket adds up what all chunks
-count, stores its part of the model and answers each chunk in the order of its question. So what moves is
-distinct keys of chunks, and no word, pair or context is ever in one task for all its occurrences. The
-context sums behind the weights go the same way, and the documents' backed-off tokens with them: the
-bucket that knows a context's weight adds it for each document.
-
-Tables: `counts1`, `counts2` (keys and counts by bucket) and `weights` (contexts and weights by bucket).
-Two different words or pairs share a key with a chance of 2**-64 a pair of them.
-
-Defined cases: null texts are empty (one end token); repeated rows are scored, and learnt from, each;
-without training rows every probability is that of the word never met, one. Null ids are hashed as the
-empty text. Only id and text are read.
+Tokens are the words of a text, A-Z in lower case, then one end. The model has three orders, and each backs off to the
+one below it:
+
+    P(w | h) = D(c) c / c(h) where the n-gram h w is kept, else weight(h) P(w | h without its first word)
+    P(w)     = D(c) c / N, and for words never met the mass that the discounts leave
+
+N-grams are kept from the least count of their order, CUTS: one for words and pairs, two for triples (the usual setting, since
+most triples occur once; with one, all are kept). D is the Good-Turing discount with Katz's correction for counts up to K; larger counts lose
+at most half a count (Katz takes nothing), so that every context has mass to give away. A weight is what the kept n-grams
+leave of a context's mass, over the probability that the order below gives to the words they do not cover, so each
+context's probabilities add up to one exactly (the word never met included). A context that no kept n-gram has, has
+weight one.
+
+Documents are read once into chunks of about CHUNK tokens. A chunk asks for the counts of its distinct words and pairs, as
+sorted 64-bit keys, cut by leading bits into buckets; a bucket adds up what all chunks count, stores its part of the model
+and answers each chunk in the order of its question. Then the chunk asks for its triples: only those both of whose pairs
+are met as often as a kept triple is, as no other can be kept (what it leaves out are triples met once, which the
+discounts count). So what moves is distinct keys of chunks, and no word, pair or context is ever in one task for all its
+occurrences. Weights go the same way: the chunk that accounts for an n-gram adds it to its context's sums, a bucket of
+contexts adds those up, and adds for each document the weights of its backed-off tokens.
+
+A model is a folder of tables partitioned by kind: `counts1` to `counts3` (keys and counts by bucket) and `weights1`, `weights2` (contexts and
+weights by bucket), with `meta`. train() writes one, score() scores any table from one alone, and train_and_score() does
+both in one pass over the chunks. Two different n-grams share a key with a chance of 2**-64 a pair of them.
+
+Defined cases: null texts are empty (one end token); repeated rows are scored, and learnt from, each; without training
+rows every probability is that of the word never met, one. Null ids are hashed as the empty text; ids are integers. Only
+id and text are read.
 """
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seamark.llm.shingles import mixed, word_keys
-from seamark.llm.store import drop, release, written
+from seamark.llm.store import delete, drop, new_path, write_to, written
 
 CHUNK, KEYS_A_BUCKET, K = 2_000_000, 400_000, 5
+ORDERS, CUTS = 3, (1, 1, 2)
 FOLDS, HELD = 7, 2
 NO_ID = -(2**63)
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))
@@ -149,58 +158,149 @@ class Chunk:
         pairs, pair = np.unique(pair_keys(left, keys[word]), return_inverse=True)
         return cls(np.frombuffer(ids, np.int64), np.frombuffer(held, bool), np.repeat(np.arange(len(lengths)), lengths), keys, word, context, pairs, pair)
 
-    def asked(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each order, the distinct keys and how often training tokens have them."""
-        learnt = ~self.held[self.row]
-        return [(self.words, np.bincount(self.word[learnt], minlength=len(self.words))), (self.pairs, np.bincount(self.pair[learnt], minlength=len(self.pairs)))]
+    def learnt(self) -> np.ndarray:
+        return ~self.held[self.row]
+
+    def triples(self, pair_count: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that may end a kept triple (both pairs are met `cut` times), the triples' distinct keys, and each such token's place in them."""
+        often = pair_count[self.pair] >= cut
+        at = np.flatnonzero((self.context >= 0) & often & np.r_[False, often[:-1]])
+        keys, place = np.unique(pair_keys(self.pairs[self.pair[at - 1]], self.words[self.word[at]]), return_inverse=True)
+        return at, keys, place
+
+
+def chunks_of(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Chunk]]:
+    for i in range(table.num_rows):
+        row = {n: table.column(n)[i].as_py() for n in table.schema.names}
+        yield row["chunk"], Chunk.read(*(row[x] for x in ("words", "tokens", "ids", "sizes", "held")))
+
+
+# --- what moves between chunks and buckets
 
+#: part: `ask` (an n-gram's keys; a: how often training tokens have them), `pruned` (a: training tokens whose triple is met
+#: once, by the rule), `sums` (contexts; a: their counts, b: those of their kept n-grams, x: what these lose, y: the probability
+#: of their words in the order below), `wants` (contexts of backed-off tokens; a: their rows), `stored` and `weights` (a model's counts and weights).
+#: order is that of the n-grams, or of the n-grams that back off.
+MOVED = pa.schema([("part", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *((x, pa.binary()) for x in ("keys", "a", "b", "x", "y"))])
+#: part: `counts` and `weights` (the model), `answers` (a: counts in the question's order, b: which keys the chunk accounts
+#: for), `rows` (what a chunk knows of its documents), `more` (what weights add to a chunk's documents; a: their places, b: doubles), `tally` (numbers of keys
+#: by count up to K + 1, tokens, keys).
+FOUND = pa.schema([("part", pa.string()), ("order", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("tally", pa.list_(pa.int64())), ("row", pa.int32()), ("id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+NAMES = {pa.string(): "string", pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.bool_(): "boolean", pa.float64(): "double", pa.list_(pa.int64()): "array<long>"}
 
-# --- counts
 
-QUESTIONS = "kind int, bucket int, chunk long, keys binary, counts binary"
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {NAMES[f.type]}" for f in schema)
 
 
-def ask_batches(bits: int):
+def filled(schema: pa.Schema, n: int, **columns) -> pa.Table:
+    """n rows; columns are lists, arrays, or one value for all, and those not named are null."""
+    def column(f: pa.Field) -> pa.Array:
+        x = columns.get(f.name)
+        if x is None:
+            return pa.nulls(n, f.type)
+        return pa.array(x if isinstance(x, (list, np.ndarray)) else [x] * n, f.type)
+
+    return pa.table([column(f) for f in schema], schema=schema)
+
+
+def moved(part: str, order: int, bits: int, keys: np.ndarray, chunk: int, **columns: np.ndarray) -> pa.Table:
+    """Rows of MOVED by bucket; keys ascend. Integers are packed, doubles are not."""
+    buckets, starts, ends = cut(keys, bits)
+    spans = list(zip(starts.tolist(), ends.tolist(), strict=True))
+    cells = {n: [pack(v[s:e]) if v.dtype.kind in "iu" else v[s:e].tobytes() for s, e in spans] for n, v in columns.items()}
+    return filled(MOVED, len(spans), part=part, order=order, bucket=buckets.astype(np.int32), chunk=chunk, keys=[pack_keys(keys[s:e]) for s, e in spans], **cells)
+
+
+def in_pieces(table: pa.Table, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in table.combine_chunks().to_batches(max_chunksize=64):
+        yield pa.RecordBatch.from_arrays(batch.columns, schema=schema)
+
+
+def ask_batches(bits: int, learn: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                chunk = Chunk.read(*(row[x] for x in ("words", "tokens", "ids", "sizes", "held")))
-                for kind, (keys, counts) in enumerate(chunk.asked(), 1):
-                    buckets, starts, ends = cut(keys, bits)
-                    for b in range(0, len(buckets), 64):
-                        part = list(zip(starts[b : b + 64].tolist(), ends[b : b + 64].tolist(), strict=True))
-                        k = len(part)
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.array(buckets[b : b + 64].astype(np.int32)), pa.array([row["chunk"]] * k, pa.int64()), pa.array([pack_keys(keys[s:e]) for s, e in part], pa.binary()), pa.array([pack(counts[s:e]) for s, e in part], pa.binary())], names=["kind", "bucket", "chunk", "keys", "counts"])
+            for number, chunk in chunks_of(batch):
+                learnt = chunk.learnt() if learn else np.zeros(len(chunk.row), bool)
+                for order, keys, place in ((1, chunk.words, chunk.word), (2, chunk.pairs, chunk.pair)):
+                    yield from in_pieces(moved("ask", order, bits, keys, number, a=np.bincount(place[learnt], minlength=len(keys))), MOVED)
 
     return run
 
 
-#: part: `counts1`, `counts2` (the model: keys, numbers) or `answers` (numbers in the question's order; extra: which keys this chunk accounts for). tally: in the model's rows, distinct keys by count up to K + 1, tokens and keys.
-ANSWERS = "part string, kind int, bucket int, chunk long, keys binary, numbers binary, extra binary, tally array<long>"
-_ANSWERS = pa.schema([("part", pa.string()), ("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("numbers", pa.binary()), ("extra", pa.binary()), ("tally", pa.list_(pa.int64()))])
+def bucket_of(group: pa.Table) -> pa.Table:
+    """One bucket: of n-grams that are asked for, or of contexts."""
+    parts = set(group.column("part").to_pylist())
+    if parts == {"rows"}:
+        return group.select(FOUND.names).combine_chunks()
+    if parts == {"pruned"}:
+        once = sum(int(unpack(x)[0]) for x in group.column("a").to_pylist())
+        return filled(FOUND, 1, part="tally", order=3, tally=[[once] + [0] * (K + 2)])
+    return answered(group) if "ask" in parts else weighed(group) if parts & {"sums", "wants"} else FOUND.empty_table()
 
 
-def answer(group: pa.Table) -> pa.Table:
-    """One bucket of one order."""
-    group = group.sort_by("chunk")
-    kind, bucket = group.column("kind")[0].as_py(), group.column("bucket")[0].as_py()
+def answered(group: pa.Table) -> pa.Table:
+    group = group.sort_by([("part", "ascending"), ("chunk", "ascending")])
+    order, bucket = group.column("order")[0].as_py(), group.column("bucket")[0].as_py()
+    parts, chunks = group.column("part").to_pylist(), group.column("chunk").to_pylist()
     asked = [unpack_keys(x) for x in group.column("keys").to_pylist()]
-    counts = np.concatenate([unpack(x) for x in group.column("counts").to_pylist()])
+    counts = np.concatenate([unpack(x) for x in group.column("a").to_pylist()])
     ends = np.cumsum([len(a) for a in asked]).tolist()
     keys, which = np.unique(np.concatenate(asked), return_inverse=True)
     total = np.bincount(which, weights=counts, minlength=len(keys)).astype(np.int64)
     learnt = np.flatnonzero(counts > 0)
     owner = np.zeros(len(counts), bool)
     owner[learnt[np.unique(which[learnt], return_index=True)[1]]] = True
-    rows = []
-    for chunk, start, end in zip(group.column("chunk").to_pylist(), [0, *ends], ends, strict=False):
-        rows.append(("answers", kind, bucket, chunk, None, pack(total[which[start:end]]), np.packbits(owner[start:end]).tobytes(), None))
-    met = total > 0
-    if met.any():
-        tally = [*np.bincount(total[met & (total <= K + 1)], minlength=K + 2)[1:].tolist(), int(total.sum()), int(met.sum())]
-        rows.append((f"counts{kind}", kind, bucket, None, pack_keys(keys[met]), pack(total[met]), None, tally))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ANSWERS.types, strict=True)], schema=_ANSWERS)
+    out = []
+    spans = [(c, s, e) for p, c, s, e in zip(parts, chunks, [0, *ends], ends, strict=False) if p == "ask"]
+    out.append(filled(FOUND, len(spans), part="answers", order=order, bucket=bucket, chunk=[c for c, *_ in spans], a=[pack(total[which[s:e]]) for _, s, e in spans], b=[np.packbits(owner[s:e]).tobytes() for _, s, e in spans]))
+    met = total >= CUTS[order - 1]
+    if "stored" not in parts and total.any():
+        tally = [*np.bincount(total[(total > 0) & (total <= K + 1)], minlength=K + 2)[1:].tolist(), int(total.sum()), int((total > 0).sum())]
+        out.append(filled(FOUND, 1, part="tally", order=order, bucket=bucket, tally=[tally]))
+        if met.any():
+            out.append(filled(FOUND, 1, part="counts", order=order, bucket=bucket, keys=[pack_keys(keys[met])], a=[pack(total[met])]))
+    return pa.concat_tables(out)
+
+
+def weighed(group: pa.Table) -> pa.Table:
+    """One bucket of contexts: their weights, and what they add to each row."""
+    group = group.sort_by([("part", "ascending"), ("chunk", "ascending")])
+    order, bucket = group.column("order")[0].as_py(), group.column("bucket")[0].as_py()
+    rows = {p: [] for p in ("sums", "weights", "wants")}
+    for row in group.to_pylist():
+        rows[row["part"]].append(row)
+    out = []
+    if rows["weights"]:
+        keys, weight = unpack_keys(rows["weights"][0]["keys"]), np.frombuffer(rows["weights"][0]["a"])
+    elif rows["sums"]:
+        keys, which = np.unique(np.concatenate([unpack_keys(r["keys"]) for r in rows["sums"]]), return_inverse=True)
+        counts, kept = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        counts[which] = np.concatenate([unpack(r["a"]) for r in rows["sums"]])
+        np.add.at(kept, which, np.concatenate([unpack(r["b"]) for r in rows["sums"]]))
+        total = []
+        for name in "xy":  # the same sums whatever the order of arrival: added by size
+            x = np.concatenate([np.frombuffer(r[name]) for r in rows["sums"]])
+            by_size = np.lexsort((x, which))
+            total.append(np.bincount(which[by_size], weights=x[by_size], minlength=len(keys)))
+        lost, seen = total
+        weight = ((counts - kept + lost) / counts) / np.maximum(1 - seen, 1e-300)
+        out.append(filled(FOUND, 1, part="weights", order=order, bucket=bucket, keys=[pack_keys(keys)], a=[weight.tobytes()]))
+    else:
+        return FOUND.empty_table()
+    logs = np.log10(weight)
+    for want in rows["wants"]:
+        asked, of = unpack_keys(want["keys"]), unpack(want["a"])
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        hit = keys[at] == asked
+        more = np.bincount(of[hit], weights=logs[at[hit]]) if hit.any() else np.zeros(0)
+        found = np.unique(of[hit])
+        # one row for all: places and sums, to be added up by the chunk's other rows
+        out.append(filled(FOUND, 1, part="more", chunk=want["chunk"], a=[pack(found)], b=[more[found].tobytes()]))
+    return pa.concat_tables(out) if out else FOUND.empty_table()
+
+
+# --- the model
 
 
 @dataclass(frozen=True)
@@ -228,158 +328,271 @@ class Discounts:
 
 
 @dataclass(frozen=True)
-class Model:
-    """What all tasks share of a model; its tables are in `counts`."""
+class Meta:
+    """What all tasks share of a model; its tables are in a folder."""
 
+    orders: int
+    bits: int
     tokens: int
     kinds: int
-    first: Discounts
-    second: Discounts
+    discounts: tuple[Discounts, ...]
     unknown: float
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, (counts - self.first.lose(counts)) / max(1, self.tokens), self.unknown)
+        return np.where(counts > 0, (counts - self.discounts[0].lose(counts)) / max(1, self.tokens), self.unknown)
+
+    def bigram(self, met: np.ndarray, before: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (met - self.discounts[1].lose(met)) / before
+
+
+def tallies(*founds: DataFrame) -> dict[int, list[int]]:
+    """By order: keys of counts 1 to K + 1, tokens, keys."""
+    rows = reduce(DataFrame.unionByName, [f.filter("part = 'tally'").select("order", "tally") for f in founds])
+    summed = rows.groupBy("order").agg(*[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(K + 3)]).collect()  # a row an order
+    return {r["order"]: [r[f"t{i}"] for i in range(K + 3)] for r in summed}
+
+
+def meta_of(orders: int, bits: int, tally: dict[int, list[int]]) -> Meta:
+    none = [0] * (K + 3)
+    discounts = tuple(Discounts.of(tally.get(o, none)[: K + 1]) for o in range(1, ORDERS + 1))
+    ones, first = tally.get(1, none), discounts[0]
+    tokens, kinds = ones[K + 1], ones[K + 2]
+    lost = sum(n * r * (1 - first.small[r]) for r, n in enumerate(ones[:K], 1)) + first.lost * (kinds - sum(ones[:K]))
+    return Meta(orders, bits, tokens, kinds, discounts, lost / tokens if tokens else 1.0)
+
+
+class Model:
+    """A stored model: the folder's tables and its meta."""
+
+    STEPS = ("words", "triples", "contexts")
+
+    def __init__(self, spark: SparkSession, path: str, meta: Meta | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.meta = meta or self._read_meta()
 
+    def _read_meta(self) -> Meta:
+        m = json.loads(self.spark.read.text(f"{self.path}/meta", wholetext=True).first()[0])
+        return Meta(m["orders"], m["bits"], m["tokens"], m["kinds"], tuple(Discounts(tuple(s), x) for s, x in m["discounts"]), m["unknown"])
 
-def summed(counts: DataFrame) -> Model:
-    rows = {r["kind"]: r for r in counts.filter("tally is not null").groupBy("kind").agg(*[F.sum(F.col("tally")[i]).alias(f"t{i}") for i in range(K + 3)]).collect()}  # two rows
-    tally = [[rows[k][f"t{i}"] for i in range(K + 3)] if k in rows else [0] * (K + 3) for k in (1, 2)]
-    first, second = (Discounts.of(t[: K + 1]) for t in tally)
-    tokens, kinds = tally[0][K + 1], tally[0][K + 2]
-    lost = sum(n * r * (1 - first.small[r]) for r, n in enumerate(tally[0][:K], 1)) + first.lost * (kinds - sum(tally[0][:K]))
-    return Model(tokens, kinds, first, second, lost / tokens if tokens else 1.0)
+    def save_meta(self) -> None:
+        m = self.meta
+        text = json.dumps({"orders": m.orders, "bits": m.bits, "tokens": m.tokens, "kinds": m.kinds, "discounts": [[list(d.small), d.lost] for d in m.discounts], "unknown": m.unknown})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/meta")
 
+    def step(self, name: str) -> DataFrame:
+        return self.spark.read.schema(ddl(FOUND)).parquet(f"{self.path}/{name}")
 
-# --- scores
+    def stored(self, part: str, order: int) -> DataFrame:
+        """The model's rows as rows of MOVED: counts of an order, or weights of the contexts that back off from it."""
+        name = "triples" if order == 3 and part == "counts" else "contexts" if order == self.meta.orders else "words" if part == "counts" else "triples"
+        rows = self.step(name if (part, order) != ("counts", 2) else "words").filter((F.col("part") == part) & (F.col("order") == order))
+        none = F.lit(None).cast("binary")
+        return rows.select(F.lit("stored" if part == "counts" else part).alias("part"), "order", "bucket", F.lit(None).cast("long").alias("chunk"), "keys", "a", none.alias("b"), none.alias("x"), none.alias("y"))
 
-#: part: `rows` (what is known of a row without weights; a row is its chunk and its place there), `sums` (a context's count, lost mass and met words' probability) or `wants` (rows of this bucket's contexts that need the weight).
-SCORED = "part string, bucket int, chunk long, row int, id long, held boolean, n_tokens long, n_known long, base_score double, score double, keys binary, a binary, b binary, c binary"
-_SCORED = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("row", pa.int32()), ("id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), *((x, pa.binary()) for x in ("keys", "a", "b", "c"))])
+    def forget(self, *parts: str) -> None:
+        """Deletes what is not the model's."""
+        for name in self.STEPS:
+            for part in parts:
+                delete(self.spark, f"{self.path}/{name}/part={part}")
 
 
-def parts_table(part: str, **columns) -> pa.Table:
-    n = len(next(iter(columns.values())))
-    arrays = [pa.array([part] * n) if f.name == "part" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCORED]
-    return pa.table(arrays, schema=_SCORED)
+# --- chunks and their answers
 
 
-def score_chunk(model: Model, bits: int):
+def answers_of(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By order, the counts in the order of the question and which keys the chunk accounts for."""
+    table = table.sort_by([("order", "ascending"), ("bucket", "ascending")])
+    counts, owned = defaultdict(list), defaultdict(list)
+    for order, a, b in zip(*(table.column(n).to_pylist() for n in ("order", "a", "b")), strict=True):
+        counts[order].append(unpack(a))
+        owned[order].append(np.unpackbits(np.frombuffer(b, np.uint8), count=len(counts[order][-1])).astype(bool))
+    none = (np.zeros(0, np.int64), np.zeros(0, bool))
+    return {o: (np.concatenate(counts[o]), np.concatenate(owned[o])) if o in counts else none for o in range(1, ORDERS + 1)}
+
+
+def context_sums(order: int, bits: int, number: int, keys: np.ndarray, counts: np.ndarray, place: np.ndarray, kept: np.ndarray, lost: np.ndarray, seen: np.ndarray) -> pa.Table:
+    """place: of each n-gram that the chunk accounts for, its context's place in keys; kept, lost, seen: the n-gram's count, what it loses, its word's probability below."""
+    used = np.unique(place)
+    used = used[np.argsort(keys[used])]
+    add = lambda x: np.bincount(place, weights=x, minlength=len(keys))[used]
+    return moved("sums", order, bits, keys[used], number, a=counts[used], b=add(kept).astype(np.int64), x=add(lost), y=add(seen))
+
+
+def wanted(order: int, bits: int, number: int, keys: np.ndarray, rows: np.ndarray) -> pa.Table:
+    by_key = np.argsort(keys, kind="stable")
+    return moved("wants", order, bits, keys[by_key], number, a=rows[by_key])
+
+
+@dataclass
+class Met:
+    """What a chunk knows of its words and pairs."""
+
+    keys: np.ndarray  # contexts of one word: the begin, then the words
+    counts: np.ndarray
+    pair_count: np.ndarray
+    owned: np.ndarray
+    pair: np.ndarray  # each token's pair's count
+    one: np.ndarray  # each token's probability by itself, and after its word before where that pair is met
+    two: np.ndarray
+
+    @classmethod
+    def of(cls, meta: Meta, chunk: Chunk, got: dict) -> Met:
+        (count, _), (pair_count, owned) = got[1], got[2]
+        counts = np.r_[count[np.searchsorted(chunk.words, END)], count]  # as many begins as ends
+        pair = pair_count[chunk.pair]
+        return cls(np.r_[BEGIN, chunk.words], counts, pair_count, owned, pair, meta.unigram(count)[chunk.word], meta.bigram(pair, counts[chunk.context + 1]))
+
+
+def known_rows(meta: Meta, number: int, chunk: Chunk, met: Met, chance: np.ndarray) -> pa.Table:
+    """What is known of each document without weights."""
+    n, c = len(chunk.ids), met.counts[1:][chunk.word]
+    add = lambda x: np.bincount(chunk.row, weights=x, minlength=n)
+    base = np.log10((c + 1) / (meta.tokens + meta.kinds + 1))
+    return filled(FOUND, n, part="rows", order=0, bucket=number % (1 << 20), chunk=number, row=np.arange(n, dtype=np.int32), id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(np.log10(chance)))
+
+
+def after_pairs(meta: Meta, learn: bool, scores: bool):
+    """From a chunk and the counts of its words and pairs: sums and wants of contexts of one word; then its triples, or, with two orders, its documents."""
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        if not chunks.num_rows:
-            return _SCORED.empty_table()
-        row = {n: chunks.column(n)[0].as_py() for n in chunks.schema.names}
-        chunk = Chunk.read(*(row[x] for x in ("words", "tokens", "ids", "sizes", "held")))
-        answers = answers.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        numbers: dict[int, list] = {1: [], 2: []}
-        owned = []
-        for kind, data, extra in zip(*(answers.column(n).to_pylist() for n in ("kind", "numbers", "extra")), strict=True):
-            numbers[kind].append(unpack(data))
-            if kind == 2:
-                owned.append(np.unpackbits(np.frombuffer(extra, np.uint8), count=len(numbers[2][-1])).astype(bool))
-        count, pair_count, owned = np.concatenate(numbers[1]), np.concatenate(numbers[2]), np.concatenate(owned)
-        ends = np.searchsorted(chunk.words, END)
-        texts = count[ends]  # as many begins as ends
-        chance = model.unigram(count)
-        n = len(chunk.ids)
-
-        c = count[chunk.word]
-        before = np.where(chunk.context >= 0, count[chunk.context], texts)
-        met = pair_count[chunk.pair]
-        backs = (met == 0) & (before > 0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs = np.log10(np.where(met > 0, (met - model.second.lose(met)) / before, chance[chunk.word]))
-        add = lambda x: np.bincount(chunk.row, weights=x, minlength=n)
-        base = np.log10((c + 1) / (model.tokens + model.kinds + 1))
-        of_chunk = lambda k: np.full(k, row["chunk"], np.int64)
-        out = [parts_table("rows", chunk=of_chunk(n), row=np.arange(n, dtype=np.int32), id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(logs))]
-
-        # each pair met counts once for its context, in the chunk that accounts for it
-        first = np.zeros(len(chunk.pairs), np.int64)
-        first[chunk.pair] = np.arange(len(chunk.pair))
-        mine = first[owned]
-        place = chunk.context[mine] + 1  # 0 is the begin
-        sums = lambda x: np.bincount(place, weights=x, minlength=len(count) + 1)
-        lost, seen = sums(model.second.lose(met[mine])), sums(chance[chunk.word[mine]])
-        context_keys, context_counts = np.r_[BEGIN, chunk.words], np.r_[texts, count]
-        used = np.unique(place)
-        used = used[np.argsort(context_keys[used])]
-        buckets, starts, stops = cut(context_keys[used], bits)
-        spans = list(zip(starts.tolist(), stops.tolist(), strict=True))
-        part = lambda x: [x[used[s:e]].tobytes() for s, e in spans]
-        out.append(parts_table("sums", bucket=buckets.astype(np.int32), keys=[pack_keys(context_keys[used[s:e]]) for s, e in spans], a=[pack(context_counts[used[s:e]]) for s, e in spans], b=part(lost), c=part(seen)))
-
-        wanting = np.flatnonzero(backs)
-        keys = context_keys[chunk.context[wanting] + 1]
-        order = np.argsort(keys, kind="stable")
-        keys, of = keys[order], chunk.row[wanting][order]
-        buckets, starts, stops = cut(keys, bits)
-        spans = list(zip(starts.tolist(), stops.tolist(), strict=True))
-        out.append(parts_table("wants", bucket=buckets.astype(np.int32), chunk=of_chunk(len(spans)), keys=[pack_keys(keys[s:e]) for s, e in spans], a=[pack(of[s:e]) for s, e in spans]))
-        return pa.concat_tables(out)
+        out = [BOTH.empty_table()]
+        for number, chunk in chunks_of(chunks):
+            met = Met.of(meta, chunk, answers_of(answers))
+            if learn:
+                first = np.zeros(len(chunk.pairs), np.int64)
+                first[chunk.pair] = np.arange(len(chunk.pair))
+                mine = first[met.owned]
+                c = met.pair[mine]
+                out.append(context_sums(2, meta.bits, number, met.keys, met.counts, chunk.context[mine] + 1, c, meta.discounts[1].lose(c), met.one[mine]))
+            if scores:
+                back = np.flatnonzero((met.pair == 0) & (met.counts[chunk.context + 1] > 0))
+                out.append(wanted(2, meta.bits, number, met.keys[chunk.context[back] + 1], chunk.row[back]))
+                if meta.orders == 2:
+                    out.append(known_rows(meta, number, chunk, met, np.where(met.pair > 0, met.two, met.one)))
+            if meta.orders == 3:
+                at, triples, place = chunk.triples(met.pair_count, CUTS[2])
+                learnt = chunk.learnt() if learn else np.zeros(len(chunk.row), bool)
+                out.append(moved("ask", 3, meta.bits, triples, number, a=np.bincount(place[learnt[at]], minlength=len(triples))))
+                pruned = int((learnt & (chunk.context >= 0)).sum() - learnt[at].sum())
+                out.append(filled(MOVED, 1, part="pruned", order=0, bucket=number % 64, a=[pack(np.array([pruned]))]))
+        return pa.concat_tables([as_both(t) for t in out])
 
     return run
 
 
-#: part: `weights` (the model's: keys, numbers) or `rows` (what a row's weights in this bucket add to its score).
-WEIGHED = "part string, bucket int, keys binary, numbers binary, chunk long, row int, more double"
-_WEIGHED = pa.schema([("part", pa.string()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("chunk", pa.int64()), ("row", pa.int32()), ("more", pa.float64())])
+def after_triples(meta: Meta, learn: bool, scores: bool):
+    """From a chunk and the counts of its words, pairs and triples: sums and wants of contexts of two words, and its documents."""
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [BOTH.empty_table()]
+        for number, chunk in chunks_of(chunks):
+            got = answers_of(answers)
+            met, (triple_count, owned) = Met.of(meta, chunk, got), got[3]
+            at, triples, place = chunk.triples(met.pair_count, CUTS[2])
+            kept, history = np.zeros((2, len(chunk.row)), np.int64)  # how often a kept triple, and the two words before, are met
+            kept[at] = np.where(triple_count >= CUTS[2], triple_count, 0)[place]
+            inside = np.flatnonzero(chunk.context >= 0)
+            history[inside] = met.pair[inside - 1]
+            if learn and len(triples):
+                first = np.zeros(len(triples), np.int64)
+                first[place] = at
+                mine = first[owned & (triple_count >= CUTS[2])]
+                out.append(context_sums(3, meta.bits, number, chunk.pairs, met.pair_count, chunk.pair[mine - 1], kept[mine], meta.discounts[2].lose(kept[mine]), met.two[mine]))
+            if scores:
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    three = (kept - meta.discounts[2].lose(kept)) / history
+                out.append(known_rows(meta, number, chunk, met, np.where(kept > 0, three, np.where(met.pair > 0, met.two, met.one))))
+                back = np.flatnonzero((kept == 0) & (history >= CUTS[2]))
+                out.append(wanted(3, meta.bits, number, chunk.pairs[chunk.pair[back - 1]], chunk.row[back]))
+        return pa.concat_tables([as_both(t) for t in out])
 
+    return run
+
+
+BOTH = pa.schema([*MOVED, *(f for f in FOUND if f.name not in MOVED.names)])
 
-def weigh(group: pa.Table) -> pa.Table:
-    """One bucket of contexts: their weights, and what they add to each row."""
-    group = group.sort_by([("part", "ascending"), ("chunk", "ascending")])
-    bucket = group.column("bucket")[0].as_py()
-    parts = group.column("part").to_pylist()
-    blobs = {n: group.column(n).to_pylist() for n in ("keys", "a", "b", "c", "chunk")}
-    sums, wants = ([i for i, p in enumerate(parts) if p == x] for x in ("sums", "wants"))
-    if not sums:
-        return _WEIGHED.empty_table()
-    asked = [unpack_keys(blobs["keys"][i]) for i in sums]
-    keys, which = np.unique(np.concatenate(asked), return_inverse=True)
-    counts = np.zeros(len(keys), np.int64)
-    counts[which] = np.concatenate([unpack(blobs["a"][i]) for i in sums])
-    # the same sums whatever the order of arrival: added by size
-    total = []
-    for name in ("b", "c"):
-        x = np.concatenate([np.frombuffer(blobs[name][i]) for i in sums])
-        order = np.lexsort((x, which))
-        total.append(np.bincount(which[order], weights=x[order], minlength=len(keys)))
-    lost, seen = total
-    weight = (lost / counts) / np.maximum(1 - seen, 1e-300)
-    out = [pa.table([pa.array(["weights"]), pa.array([bucket], pa.int32()), pa.array([pack_keys(keys)], pa.binary()), pa.array([weight.tobytes()], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.float64())], schema=_WEIGHED)]
-    logs = np.log10(weight)
-    for i in wants:
-        rows = unpack(blobs["a"][i])
-        more = np.bincount(rows, weights=logs[np.searchsorted(keys, unpack_keys(blobs["keys"][i]))])
-        hit = np.unique(rows)
-        k = len(hit)
-        out.append(pa.table([pa.array(["rows"] * k), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array([blobs["chunk"][i]] * k, pa.int64()), pa.array(hit.astype(np.int32)), pa.array(more[hit])], schema=_WEIGHED))
-    return pa.concat_tables(out)
+
+def as_both(table: pa.Table) -> pa.Table:
+    return pa.table([table.column(f.name) if f.name in table.schema.names else pa.nulls(table.num_rows, f.type) for f in BOTH], schema=BOTH)
 
 
 def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD
 
 
-def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learns from the rows that are not held out and scores all: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    held = held_out(F.col(id_col)) if held is None else held
+RESULT = pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def total(rows: pa.Table, more: pa.Table) -> pa.Table:
+    """A chunk's documents with all that weights add to them, in the same order of addition whatever the order of arrival."""
+    rows = rows.sort_by("row")
+    sums = rows.column("score").to_numpy().copy()
+    if more.num_rows:
+        place = np.concatenate([unpack(x) for x in more.column("a").to_pylist()])
+        value = np.concatenate([np.frombuffer(x) for x in more.column("b").to_pylist()])
+        by = np.lexsort((value, place))
+        sums += np.bincount(place[by], weights=value[by], minlength=len(sums))
+    return rows.select(RESULT.names[:-1]).append_column("score", pa.array(sums)).cast(RESULT)
+
+
+def passes(docs: DataFrame, held: Column, model: Model | None, path: str, orders: int, scores: bool, id_col: str, text_col: str) -> tuple[Model, DataFrame | None]:
+    """Learns a model into path (model is None), or scores by one, with path for what is passed on; the documents' rows if scores are asked for."""
+    learn, spark = model is None, docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
     chunks = written(rows.mapInArrow(chunk_batches, CHUNKS), "katz-chunks")
-    tokens = chunks.agg(F.sum("n")).first()[0] or 0
-    bits = max(0, int(np.ceil(np.log2(max(1, tokens / KEYS_A_BUCKET)))))
-    questions = chunks.mapInArrow(ask_batches(bits), QUESTIONS)
-    counts = written(questions.groupBy("kind", "bucket").applyInArrow(answer, ANSWERS).select(*[x.split()[0] for x in ANSWERS.split(", ")]), "katz-model", ["part"])
-    del questions
-    release(docs.sparkSession)
-    model = summed(counts)
-    answers = counts.filter("part = 'answers'").select("chunk", "kind", "bucket", "numbers", "extra")
-    scored = written(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score_chunk(model, bits), SCORED), "katz-scored", ["part"])
-    del answers
+    bits = max(0, int(np.ceil(np.log2(max(1, (chunks.agg(F.sum("n")).first()[0] or 0) / KEYS_A_BUCKET))))) if learn else model.meta.bits
+
+    def step(name: str, asked: DataFrame, *stored: tuple[str, int]) -> DataFrame:
+        """What the buckets say to `asked`, written."""
+        for s in () if learn else stored:
+            asked = asked.unionByName(model.stored(*s), allowMissingColumns=True)
+        part = F.col("part")
+        family = F.when(part.isin("ask", "stored"), "grams").when(part.isin("pruned", "rows"), part).otherwise("contexts")
+        found = asked.groupBy(family.alias("family"), "order", "bucket").applyInArrow(bucket_of, ddl(FOUND))
+        return write_to(found, f"{path}/{name}", ["part"])
+
+    def met(*founds: DataFrame) -> DataFrame:
+        answers = reduce(DataFrame.unionByName, [f.filter("part = 'answers'").select("chunk", "order", "bucket", "a", "b") for f in founds])
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+
+    found = [step("words", chunks.mapInArrow(ask_batches(bits, learn), ddl(MOVED)), ("counts", 1), ("counts", 2))]
+    meta = meta_of(orders, bits, tallies(*found)) if learn else model.meta
+    pairs = lambda: met(*found).applyInArrow(after_pairs(meta, learn, scores), ddl(BOTH))
+    if meta.orders == 3:
+        found.append(step("triples", pairs(), ("weights", 2), ("counts", 3)))
+        meta = meta_of(orders, bits, tallies(*found)) if learn else meta
+        found.append(step("contexts", met(*found).applyInArrow(after_triples(meta, learn, scores), ddl(BOTH)), ("weights", 3)))
+    else:
+        found.append(step("contexts", pairs(), ("weights", 2)))
     drop(chunks)
-    release(docs.sparkSession)
-    weighed = written(scored.filter("part in ('sums', 'wants')").groupBy("bucket").applyInArrow(weigh, WEIGHED), "katz-weights", ["part"])
-    release(docs.sparkSession)
-    more = weighed.filter("part = 'rows'").groupBy("chunk", "row").agg(F.sort_array(F.collect_list("more")).alias("more")).select("chunk", "row", F.aggregate("more", F.lit(0.0), lambda a, x: a + x).alias("more"))
-    result = scored.filter("part = 'rows'").join(more, ["chunk", "row"], "left")
-    return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    out = Model(spark, path, meta)
+    out.forget("answers", "tally")
+    if learn:
+        out.save_meta()
+    if not scores:
+        return out, None
+    say = lambda name: reduce(DataFrame.unionByName, [f.filter(F.col("part") == name) for f in found[1:]])
+    summed = say("rows").select("chunk", "row", *RESULT.names).groupBy("chunk").cogroup(say("more").select("chunk", "a", "b").groupBy("chunk")).applyInArrow(total, ddl(RESULT))
+    return out, summed
+
+
+def train(docs: DataFrame, path: str | None = None, held: Column | None = None, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from the rows that are not held out (by default, none is) into the folder `path`, which must not hold anything yet."""
+    spark = docs.sparkSession
+    return passes(docs, F.lit(False) if held is None else held, None, path or new_path(spark, "katz-model"), orders, False, id_col, text_col)[0]
+
+
+def shaped(rows: DataFrame, model: Model, id_col: str) -> DataFrame:
+    return rows.select(F.when(F.col("id") != NO_ID, F.col("id")).alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(model.meta.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores all rows by a stored model: id, held_out (as given, by default false), n_tokens, n_known, train_tokens, base_score, score."""
+    path = new_path(docs.sparkSession, "katz-scores")
+    return shaped(passes(docs, F.lit(False) if held is None else held, model, path, model.meta.orders, True, id_col, text_col)[1], model, id_col)
+
+
+def train_and_score(docs: DataFrame, path: str | None = None, held: Column | None = None, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Learns from the rows that are not held out and scores all, reading them once: the columns of score()."""
+    spark = docs.sparkSession
+    model, rows = passes(docs, held_out(F.col(id_col)) if held is None else held, None, path or new_path(spark, "katz-model"), orders, True, id_col, text_col)
+    return shaped(rows, model, id_col)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,31 +27,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
-    """The same rows, written once and read back: it cuts lineage, and lost executors cost no recomputation of it."""
+#: With it, Spark deletes an execution's shuffle files as soon as the execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_to(df: DataFrame, path: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
+    """The same rows, written to path and read back; the shuffles that made them go at once."""
     spark = df.sparkSession
-    path = new_path(spark, name)
-    out = df.write.option("compression", codec)
-    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.write.option("compression", codec)
+        (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._seamark_path = path
     return back
 
 
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
+    """The same rows, written once and read back: it cuts lineage, and lost executors cost no recomputation of it."""
+    return write_to(df, new_path(df.sparkSession, name), partition_by, codec)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes what written() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._seamark_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(df.sparkSession, df._seamark_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing holds any more: the driver's collectors notice in turn."""
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)

@@ -49,45 +49,108 @@ def multiset(rows):
     return sorted(map(repr, rows))
 
 
-def test_katz(spark, table):
-    rows = rows_of(table)
-    tokens = [t.encode().lower().split() + [b"\n</s>"] for _, t in rows]
-    held = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
-    one, two, context = collections.Counter(), collections.Counter(), collections.Counter()
-    for t, h in zip(tokens, held):
+def plain_discounts(counts):
+    """The share kept of counts 1 to 5 and what larger ones lose, from Katz's formula."""
+    n = collections.Counter(counts)
+    a = 6 * n[6] / n[1] if n[1] else 1.0
+    share = {}
+    for r in range(1, 6):
+        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else 0
+        share[r] = d if 0 < d < 1 else 1 - 1 / (2 * r)
+    more = min(0.5, 5 - 5 * share[5])
+    return lambda c: c * share[c] if c <= 5 else c - more
+
+
+class PlainKatz:
+    """The model in dictionaries, with the recursion written as one."""
+
+    def __init__(self, texts, orders):
+        self.counts = [collections.Counter() for _ in range(orders + 1)]
+        for t in texts:
+            whole = [b"\n<s>", *t]
+            for order in range(1, orders + 1):
+                for i in range(1, len(whole)):
+                    if i - order + 1 >= 0:
+                        self.counts[order][tuple(whole[i - order + 1 : i + 1])] += 1
+        self.stays = [None, *[plain_discounts(c.values()) for c in self.counts[1:]]]
+        self.n = sum(self.counts[1].values())
+        self.after = [collections.defaultdict(list) for _ in range(orders + 1)]
+        for order in range(1, orders + 1):
+            for gram, c in self.counts[order].items():
+                if c >= katz.CUTS[order - 1]:
+                    self.after[order][gram[:-1]].append(gram[-1])
+        self.begins = len(texts)
+        self.unknown = 1 - sum(map(self.stays[1], self.counts[1].values())) / self.n if self.n else 1.0
+        self.weights = {}
+
+    def met(self, h):
+        return self.begins if h == (b"\n<s>",) else self.counts[len(h)][h]
+
+    def weight(self, h):
+        if h not in self.weights:
+            words = self.after[len(h) + 1][h]
+            self.weights[h] = (1 - sum(self.p(h, w) for w in words)) / (1 - sum(self.p(h[1:], w) for w in words)) if words else 1.0
+        return self.weights[h]
+
+    def p(self, h, w):
+        c = self.counts[len(h) + 1][*h, w]
         if not h:
-            before = [b"\n<s>", *t[:-1]]
-            one.update(t), two.update(zip(before, t)), context.update(before)
-    n, v = sum(one.values()), len(one)
-    discounts = [katz.Discounts.of([sum(c == r for c in x.values()) for r in range(1, katz.K + 2)]) for x in (one, two)]
-    left = lambda d, c: c - float(d.lose(np.array([c]))[0])
-    chance = {w: left(discounts[0], c) / n for w, c in one.items()}
-    unknown = 1 - sum(chance.values()) if n else 1.0
-    after = collections.defaultdict(list)
-    for (h, w), c in two.items():
-        after[h].append((w, c))
-    weight = {h: (1 - sum(left(discounts[1], c) for _, c in x) / context[h]) / (1 - sum(chance[w] for w, _ in x)) for h, x in after.items()}
-
-    def p(h, w):
-        return left(discounts[1], two[h, w]) / context[h] if two[h, w] else weight.get(h, 1.0) * chance.get(w, unknown)
-
-    for h in list(after)[:3]:
-        assert math.isclose(sum(p(h, w) for w in one) + weight[h] * unknown, 1, rel_tol=1e-9)
-    expected = {}
+            return self.stays[1](c) / self.n if c else self.unknown
+        if c >= katz.CUTS[len(h)]:
+            return self.stays[len(h) + 1](c) / self.met(h)
+        return self.weight(h) * self.p(h[1:], w)
+
+    def score(self, t, orders):
+        whole = [b"\n<s>", *t]
+        return sum(math.log10(self.p(tuple(whole[max(0, i - orders + 1) : i]), whole[i])) for i in range(1, len(whole)))
+
+
+def katz_tokens(rows):
+    return [t.encode().lower().split() + [b"\n</s>"] for _, t in rows]
+
+
+def check_katz(found, rows, tokens, held, model, orders):
+    known = model.counts[1]
+    expected = collections.defaultdict(list)
     for (i, _), t, h in zip(rows, tokens, held):
-        expected[i, len(t)] = (h, sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(a, b)) for a, b in zip([b"\n<s>", *t], t)))
-    found = katz.score(table).collect()
+        expected[i, len(t)].append((h, sum((w,) in known for w in t), model.n, sum(math.log10((known[w,] + 1) / (model.n + len(known) + 1)) for w in t), model.score(t, orders)))
     assert len(found) == len(rows)
+    got = collections.defaultdict(list)
     for r in found:
-        e = expected[r["doc_id"], r["n_tokens"]]
-        assert (r["held_out"], r["n_known"], r["train_tokens"]) == e[:3]
-        assert math.isclose(r["base_score"], e[3], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(r["score"], e[4], rel_tol=1e-7, abs_tol=1e-7)
+        got[r["doc_id"], r["n_tokens"]].append((r["held_out"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]))
+    assert set(got) == set(expected)
+    for key, e in expected.items():
+        for x, y in zip(sorted(got[key]), sorted(e), strict=True):
+            assert x[:3] == y[:3] and math.isclose(x[3], y[3], rel_tol=1e-9, abs_tol=1e-9) and math.isclose(x[4], y[4], rel_tol=1e-7, abs_tol=1e-7)
+
+
+@pytest.mark.parametrize("orders", [2, 3])
+def test_katz(spark, table, orders):
+    rows = rows_of(table)
+    tokens = katz_tokens(rows)
+    held = [zlib.crc32(str("" if i is None else i).encode()) % 7 == 2 for i, _ in rows]
+    model = PlainKatz([t for t, h in zip(tokens, held) if not h], orders)
+    for h in [*list(model.after[2])[:2], *(list(model.after[3])[:2] if orders == 3 else [])]:  # each context's probabilities, the unknown word's included
+        rest = math.prod(model.weight(h[i:]) for i in range(len(h))) * model.unknown
+        assert math.isclose(sum(model.p(h, w) for (w,) in model.counts[1]) + rest, 1, rel_tol=1e-9)
+    check_katz(katz.train_and_score(table, orders=orders).collect(), rows, tokens, held, model, orders)
+
+
+@pytest.mark.parametrize("orders", [2, 3])
+def test_katz_stored_model_scores_another_table(spark, docs, odd, tmp_path, orders):
+    """Learnt from one table, read back from its folder alone, and used on another."""
+    path = "file://" + str(tmp_path / "model")
+    katz.train(docs, path, orders=orders)
+    model = PlainKatz(katz_tokens(rows_of(docs)), orders)
+    rows = rows_of(odd)
+    found = katz.score(odd, katz.Model(spark, path)).collect()
+    check_katz(found, rows, katz_tokens(rows), [False] * len(rows), model, orders)
 
 
 def test_katz_many_partitions(spark, docs):
     """Rows of more than 128 partitions score as those of one."""
     near = lambda frame: sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.6f}", f"{r['score']:.6f}") for r in frame.collect())
-    assert near(katz.score(docs.repartition(140))) == near(katz.score(docs.coalesce(1)))
+    assert near(katz.train_and_score(docs.repartition(300))) == near(katz.train_and_score(docs.coalesce(1)))
 
 
 def test_mixing(spark, table):
