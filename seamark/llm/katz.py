@@ -169,6 +169,10 @@ class Chunk:
         return at, keys, place
 
 
+def spread(number: int, ways: int) -> int:
+    return int(mixed(np.array([number], np.uint64))[0] % np.uint64(ways))
+
+
 def chunks_of(table: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, Chunk]]:
     for i in range(table.num_rows):
         row = {n: table.column(n)[i].as_py() for n in table.schema.names}
@@ -449,7 +453,7 @@ def known_rows(meta: Meta, number: int, chunk: Chunk, met: Met, chance: np.ndarr
     n, c = len(chunk.ids), met.counts[1:][chunk.word]
     add = lambda x: np.bincount(chunk.row, weights=x, minlength=n)
     base = np.log10((c + 1) / (meta.tokens + meta.kinds + 1))
-    return filled(FOUND, n, part="rows", order=0, bucket=number % (1 << 20), chunk=number, row=np.arange(n, dtype=np.int32), id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(np.log10(chance)))
+    return filled(FOUND, n, part="rows", order=0, bucket=spread(number, 1 << 20), chunk=number, row=np.arange(n, dtype=np.int32), id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(np.log10(chance)))
 
 
 def after_pairs(meta: Meta, learn: bool, scores: bool):
@@ -474,7 +478,7 @@ def after_pairs(meta: Meta, learn: bool, scores: bool):
                 learnt = chunk.learnt() if learn else np.zeros(len(chunk.row), bool)
                 out.append(moved("ask", 3, meta.bits, triples, number, a=np.bincount(place[learnt[at]], minlength=len(triples))))
                 pruned = int((learnt & (chunk.context >= 0)).sum() - learnt[at].sum())
-                out.append(filled(MOVED, 1, part="pruned", order=0, bucket=number % 64, a=[pack(np.array([pruned]))]))
+                out.append(filled(MOVED, 1, part="pruned", order=0, bucket=spread(number, 64), a=[pack(np.array([pruned]))]))
         return pa.concat_tables([as_both(t) for t in out])
 
     return run
