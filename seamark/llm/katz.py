@@ -41,6 +41,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ from seamark.llm.shingles import mixed, word_keys
 from seamark.llm.store import delete, drop, new_path, write_to, written
 
 CHUNK, KEYS_A_BUCKET, K = 2_000_000, 400_000, 5
-ORDERS, CUTS = 3, (1, 1, 2)
+ORDERS, CUTS, SLICES = 3, (1, 1, 2), 4
 FOLDS, HELD = 7, 2
 NO_ID = -(2**63)
 END, BEGIN = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))
@@ -113,7 +114,8 @@ def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sizes = np.array([len(p) for p in parts], np.int32)
         flags = np.array(held, bool)
         planes = np.ascontiguousarray(rank[which].view(np.uint8).reshape(-1, 4).T).tobytes()
-        row = [task + made, len(which), int(sizes[~flags].sum()), words[order].tobytes(), planes, np.array(ids, np.int64).tobytes(), sizes.tobytes(), flags.tobytes()]
+        squeeze = zstandard.ZstdCompressor(level=3).compress  # the tokens move with each meeting
+        row = [task + made, len(which), int(sizes[~flags].sum()), words[order].tobytes(), squeeze(planes), np.array(ids, np.int64).tobytes(), sizes.tobytes(), flags.tobytes()]
         made, tokens = made + 1, 0
         for x in (ids, held, parts):
             x.clear()
@@ -148,6 +150,7 @@ class Chunk:
         order = np.argsort(keys)
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
+        tokens = zstandard.ZstdDecompressor().decompress(tokens)
         n = len(tokens) // 4
         word = place[np.ascontiguousarray(np.frombuffer(tokens, np.uint8).reshape(4, n).T).view(np.uint32).ravel()]
         keys = keys[order]
@@ -369,7 +372,7 @@ def meta_of(orders: int, bits: int, tally: dict[int, list[int]]) -> Meta:
 class Model:
     """A stored model: the folder's tables and its meta."""
 
-    STEPS = ("words", "triples", "contexts")
+    STEPS = ("words", "triples", "contexts2", "contexts3")
 
     def __init__(self, spark: SparkSession, path: str, meta: Meta | None = None):
         self.spark, self.path = spark, path.rstrip("/")
@@ -389,8 +392,8 @@ class Model:
 
     def stored(self, part: str, order: int) -> DataFrame:
         """The model's rows as rows of MOVED: counts of an order, or weights of the contexts that back off from it."""
-        name = "triples" if order == 3 and part == "counts" else "contexts" if order == self.meta.orders else "words" if part == "counts" else "triples"
-        rows = self.step(name if (part, order) != ("counts", 2) else "words").filter((F.col("part") == part) & (F.col("order") == order))
+        name = f"contexts{order}" if part == "weights" else "triples" if order == 3 else "words"
+        rows = self.step(name).filter((F.col("part") == part) & (F.col("order") == order))
         none = F.lit(None).cast("binary")
         return rows.select(F.lit("stored" if part == "counts" else part).alias("part"), "order", "bucket", F.lit(None).cast("long").alias("chunk"), "keys", "a", none.alias("b"), none.alias("x"), none.alias("y"))
 
@@ -456,58 +459,85 @@ def known_rows(meta: Meta, number: int, chunk: Chunk, met: Met, chance: np.ndarr
     return filled(FOUND, n, part="rows", order=0, bucket=spread(number, 1 << 20), chunk=number, row=np.arange(n, dtype=np.int32), id=chunk.ids, held=chunk.held, n_tokens=np.bincount(chunk.row, minlength=n), n_known=add(c > 0).astype(np.int64), base_score=add(base), score=add(np.log10(chance)))
 
 
-def after_pairs(meta: Meta, learn: bool, scores: bool):
-    """From a chunk and the counts of its words and pairs: sums and wants of contexts of one word; then its triples, or, with two orders, its documents."""
-    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [BOTH.empty_table()]
-        for number, chunk in chunks_of(chunks):
-            met = Met.of(meta, chunk, answers_of(answers))
-            if learn:
-                first = np.zeros(len(chunk.pairs), np.int64)
-                first[chunk.pair] = np.arange(len(chunk.pair))
-                mine = first[met.owned]
-                c = met.pair[mine]
-                out.append(context_sums(2, meta.bits, number, met.keys, met.counts, chunk.context[mine] + 1, c, meta.discounts[1].lose(c), met.one[mine]))
-            if scores:
-                back = np.flatnonzero((met.pair == 0) & (met.counts[chunk.context + 1] > 0))
-                out.append(wanted(2, meta.bits, number, met.keys[chunk.context[back] + 1], chunk.row[back]))
-                if meta.orders == 2:
-                    out.append(known_rows(meta, number, chunk, met, np.where(met.pair > 0, met.two, met.one)))
-            if meta.orders == 3:
-                at, triples, place = chunk.triples(met.pair_count, CUTS[2])
-                learnt = chunk.learnt() if learn else np.zeros(len(chunk.row), bool)
-                out.append(moved("ask", 3, meta.bits, triples, number, a=np.bincount(place[learnt[at]], minlength=len(triples))))
-                pruned = int((learnt & (chunk.context >= 0)).sum() - learnt[at].sum())
-                out.append(filled(MOVED, 1, part="pruned", order=0, bucket=spread(number, 64), a=[pack(np.array([pruned]))]))
-        return pa.concat_tables([as_both(t) for t in out])
-
-    return run
+@dataclass
+class Triples:
+    """What a chunk knows of its kept triples."""
 
+    at: np.ndarray  # tokens that may end one
+    keys: np.ndarray
+    place: np.ndarray  # each such token's place in keys
+    counts: np.ndarray
+    owned: np.ndarray
+    kept: np.ndarray  # each token's kept triple's count, 0 for none
+    history: np.ndarray  # how often the two words before a token are met
 
-def after_triples(meta: Meta, learn: bool, scores: bool):
-    """From a chunk and the counts of its words, pairs and triples: sums and wants of contexts of two words, and its documents."""
+    @classmethod
+    def of(cls, chunk: Chunk, met: Met, got: dict) -> Triples:
+        at, keys, place = chunk.triples(met.pair_count, CUTS[2])
+        counts, owned = got[3]
+        kept, history = np.zeros((2, len(chunk.row)), np.int64)
+        kept[at] = np.where(counts >= CUTS[2], counts, 0)[place]
+        inside = np.flatnonzero(chunk.context >= 0)
+        history[inside] = met.pair[inside - 1]
+        return cls(at, keys, place, counts, owned, kept, history)
+
+
+def ask_triples(meta: Meta, learn: bool):
+    def rows(number: int, chunk: Chunk, met: Met, got: dict) -> Iterator[pa.Table]:
+        at, keys, place = chunk.triples(met.pair_count, CUTS[2])
+        learnt = chunk.learnt() if learn else np.zeros(len(chunk.row), bool)
+        yield moved("ask", 3, meta.bits, keys, number, a=np.bincount(place[learnt[at]], minlength=len(keys)))
+        pruned = int((learnt & (chunk.context >= 0)).sum() - learnt[at].sum())
+        yield filled(MOVED, 1, part="pruned", order=0, bucket=spread(number, 64), a=[pack(np.array([pruned]))])
+
+    return rows
+
+
+def sums_of(meta: Meta, order: int):
+    """What a chunk's own n-grams of an order add to their contexts."""
+    lose = meta.discounts[order - 1].lose
+
+    def rows(number: int, chunk: Chunk, met: Met, got: dict) -> Iterator[pa.Table]:
+        if order == 2:
+            first = np.zeros(len(chunk.pairs), np.int64)
+            first[chunk.pair] = np.arange(len(chunk.pair))
+            mine = first[met.owned]
+            yield context_sums(2, meta.bits, number, met.keys, met.counts, chunk.context[mine] + 1, met.pair[mine], lose(met.pair[mine]), met.one[mine])
+        else:
+            t = Triples.of(chunk, met, got)
+            first = np.zeros(len(t.keys), np.int64)
+            first[t.place] = t.at
+            mine = first[t.owned & (t.counts >= CUTS[2])]
+            yield context_sums(3, meta.bits, number, chunk.pairs, met.pair_count, chunk.pair[mine - 1], t.kept[mine], lose(t.kept[mine]), met.two[mine])
+
+    return rows
+
+
+def document_rows(meta: Meta):
+    """A chunk's documents without weights, and the contexts whose weights their tokens want: from the highest order down to the one that meets a token."""
+    def rows(number: int, chunk: Chunk, met: Met, got: dict) -> Iterator[pa.Table]:
+        chance = np.where(met.pair > 0, met.two, met.one)
+        if meta.orders == 3:
+            t = Triples.of(chunk, met, got)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                chance = np.where(t.kept > 0, (t.kept - meta.discounts[2].lose(t.kept)) / t.history, chance)
+            back = np.flatnonzero((t.kept == 0) & (t.history >= CUTS[2]))
+            yield wanted(3, meta.bits, number, chunk.pairs[chunk.pair[back - 1]], chunk.row[back])
+        back = np.flatnonzero((met.pair == 0) & (met.counts[chunk.context + 1] > 0))
+        yield wanted(2, meta.bits, number, met.keys[chunk.context[back] + 1], chunk.row[back])
+        yield known_rows(meta, number, chunk, met, chance)
+
+    return rows
+
+
+def of_chunk(meta: Meta, rows, schema: pa.Schema):
+    """A chunk and the answers to it, to what `rows` makes of them."""
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [BOTH.empty_table()]
+        out = [schema.empty_table()]
         for number, chunk in chunks_of(chunks):
             got = answers_of(answers)
-            met, (triple_count, owned) = Met.of(meta, chunk, got), got[3]
-            at, triples, place = chunk.triples(met.pair_count, CUTS[2])
-            kept, history = np.zeros((2, len(chunk.row)), np.int64)  # how often a kept triple, and the two words before, are met
-            kept[at] = np.where(triple_count >= CUTS[2], triple_count, 0)[place]
-            inside = np.flatnonzero(chunk.context >= 0)
-            history[inside] = met.pair[inside - 1]
-            if learn and len(triples):
-                first = np.zeros(len(triples), np.int64)
-                first[place] = at
-                mine = first[owned & (triple_count >= CUTS[2])]
-                out.append(context_sums(3, meta.bits, number, chunk.pairs, met.pair_count, chunk.pair[mine - 1], kept[mine], meta.discounts[2].lose(kept[mine]), met.two[mine]))
-            if scores:
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    three = (kept - meta.discounts[2].lose(kept)) / history
-                out.append(known_rows(meta, number, chunk, met, np.where(kept > 0, three, np.where(met.pair > 0, met.two, met.one))))
-                back = np.flatnonzero((kept == 0) & (history >= CUTS[2]))
-                out.append(wanted(3, meta.bits, number, chunk.pairs[chunk.pair[back - 1]], chunk.row[back]))
-        return pa.concat_tables([as_both(t) for t in out])
+            out += [as_both(t) if schema is BOTH else t for t in rows(number, chunk, Met.of(meta, chunk, got), got)]
+        return pa.concat_tables(out)
 
     return run
 
@@ -539,44 +569,67 @@ def total(rows: pa.Table, more: pa.Table) -> pa.Table:
 
 
 def passes(docs: DataFrame, held: Column, model: Model | None, path: str, orders: int, scores: bool, id_col: str, text_col: str) -> tuple[Model, DataFrame | None]:
-    """Learns a model into path (model is None), or scores by one, with path for what is passed on; the documents' rows if scores are asked for."""
+    """Learns a model into path (model is None), or scores by one, with path for what is passed on; the documents' rows if scores are asked for.
+
+    Chunks meet their answers in SLICES parts, one after the other, so that what moves at a time is a part of the whole.
+    """
     learn, spark = model is None, docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(held, F.lit(False)).alias("held"), F.col(text_col).alias("text"))
-    chunks = written(rows.mapInArrow(chunk_batches, CHUNKS), "katz-chunks")
+    slice_of = F.pmod(F.xxhash64("chunk"), F.lit(SLICES)).cast("int")
+    chunks = written(rows.mapInArrow(chunk_batches, CHUNKS).withColumn("slice", slice_of), "katz-chunks", ["slice"])
     bits = max(0, int(np.ceil(np.log2(max(1, (chunks.agg(F.sum("n")).first()[0] or 0) / KEYS_A_BUCKET))))) if learn else model.meta.bits
+    columns = [x.split()[0] for x in CHUNKS.split(", ")]
 
-    def step(name: str, asked: DataFrame, *stored: tuple[str, int]) -> DataFrame:
-        """What the buckets say to `asked`, written."""
-        for s in () if learn else stored:
-            asked = asked.unionByName(model.stored(*s), allowMissingColumns=True)
+    def by_bucket(asked: DataFrame, *stored: DataFrame) -> DataFrame:
+        for rows in stored:
+            asked = asked.unionByName(rows, allowMissingColumns=True)
         part = F.col("part")
         family = F.when(part.isin("ask", "stored"), "grams").when(part.isin("pruned", "rows"), part).otherwise("contexts")
-        found = asked.groupBy(family.alias("family"), "order", "bucket").applyInArrow(bucket_of, ddl(FOUND))
-        return write_to(found, f"{path}/{name}", ["part"])
+        return asked.groupBy(family.alias("family"), "order", "bucket").applyInArrow(bucket_of, ddl(FOUND))
+
+    def step(name: str, asked: DataFrame, *orders: int) -> DataFrame:
+        """What buckets of n-grams say, written."""
+        return write_to(by_bucket(asked, *([] if learn else [model.stored("counts", o) for o in orders])), f"{path}/{name}", ["part"])
+
+    def meet(meta: Meta, k: int, rows, schema: pa.Schema = MOVED) -> DataFrame:
+        answers = reduce(DataFrame.unionByName, [f.filter("part = 'answers'").filter(slice_of == k).select("chunk", "order", "bucket", "a", "b") for f in found])
+        own = chunks.filter(F.col("slice") == k).select(columns)
+        return own.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(of_chunk(meta, rows, schema), ddl(schema))
 
-    def met(*founds: DataFrame) -> DataFrame:
-        answers = reduce(DataFrame.unionByName, [f.filter("part = 'answers'").select("chunk", "order", "bucket", "a", "b") for f in founds])
-        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    def meet_all(meta: Meta, name: str, rows, *orders: int) -> DataFrame:
+        parts = [written(meet(meta, k, rows), f"katz-{name}") for k in range(SLICES)]
+        out = step(name, reduce(DataFrame.unionByName, parts), *orders)
+        for p in parts:
+            drop(p)
+        return out
 
-    found = [step("words", chunks.mapInArrow(ask_batches(bits, learn), ddl(MOVED)), ("counts", 1), ("counts", 2))]
+    found = [step("words", chunks.select(columns).mapInArrow(ask_batches(bits, learn), ddl(MOVED)), 1, 2)]
     meta = meta_of(orders, bits, tallies(*found)) if learn else model.meta
-    pairs = lambda: met(*found).applyInArrow(after_pairs(meta, learn, scores), ddl(BOTH))
     if meta.orders == 3:
-        found.append(step("triples", pairs(), ("weights", 2), ("counts", 3)))
+        found.append(meet_all(meta, "triples", ask_triples(meta, learn), 3))
         meta = meta_of(orders, bits, tallies(*found)) if learn else meta
-        found.append(step("contexts", met(*found).applyInArrow(after_triples(meta, learn, scores), ddl(BOTH)), ("weights", 3)))
-    else:
-        found.append(step("contexts", pairs(), ("weights", 2)))
+    if learn:
+        for order in range(2, meta.orders + 1):
+            meet_all(meta, f"contexts{order}", sums_of(meta, order))
+        model = Model(spark, path, meta)
+        model.save_meta()
+    result = None
+    if scores:
+        weights = [model.stored("weights", o) for o in range(2, meta.orders + 1)]
+        parts = []
+        for k in range(SLICES):
+            said = written(by_bucket(meet(meta, k, document_rows(meta), BOTH), *weights), "katz-weighed", ["part"])
+            known = said.filter("part = 'rows'").select("chunk", "row", *RESULT.names).groupBy("chunk")
+            more = said.filter("part = 'more'").select("chunk", "a", "b").groupBy("chunk")
+            parts.append(written(known.cogroup(more).applyInArrow(total, ddl(RESULT)), "katz-scored"))
+            drop(said)
+        result = reduce(DataFrame.unionByName, parts)
     drop(chunks)
-    out = Model(spark, path, meta)
-    out.forget("answers", "tally")
     if learn:
-        out.save_meta()
-    if not scores:
-        return out, None
-    say = lambda name: reduce(DataFrame.unionByName, [f.filter(F.col("part") == name) for f in found[1:]])
-    summed = say("rows").select("chunk", "row", *RESULT.names).groupBy("chunk").cogroup(say("more").select("chunk", "a", "b").groupBy("chunk")).applyInArrow(total, ddl(RESULT))
-    return out, summed
+        model.forget("answers", "tally")
+    else:
+        delete(spark, path)
+    return model, result
 
 
 def train(docs: DataFrame, path: str | None = None, held: Column | None = None, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> Model:
