@@ -4,11 +4,14 @@ Every line that has a word gets binary features; the model's best labelling (Vit
 as content or boilerplate, and the share of word characters in content lines decides whether a document
 is kept. Documents that fail the base rules (few words, or mostly repeated word windows) go in any case.
 
-The model is trained here: the lines of documents labelled good count as content, those of bad ones as
-boilerplate, and the likelihood of whole line sequences is maximised (forward-backward, ridge penalty).
-It is fitted on a sample of SAMPLE documents a class, the least by a hash of the id, whole texts; of
-these, documents of over SAMPLE_LINES lines are left out of the fit (not of anything else). Without
-labels of both classes the base rules alone decide.
+The model is trained here, from labels of documents, while lines have none: a label says what most of a document's words
+are in. So the lines' labels are latent. Expectation: under the model so far, the chance of each line (forward-backward)
+is shifted, document by document, until boilerplate holds at least MOST_BAD of a bad document's word characters and at
+most MOST_GOOD of a good one's; notices count as boilerplate wherever they stand. Maximisation: the likelihood of whole line
+sequences under these chances (ridge penalty). So a good document can have boilerplate inside, and a bad one content.
+It is fitted on a sample of `sample` documents a class, the least by a hash of the id, whole texts; in the fit, sequences are
+cut every SEGMENT lines. Without labels of both classes the base rules alone decide; of several labels of one id, the least
+counts.
 
 Null texts have no words and fail. Repeated rows each get their result. Very long lines and texts are
 read whole. Only id and text are read.
@@ -25,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_LINES = 1500, 2000
+SAMPLE, SEGMENT = 1500, 400
+MOST_BAD, MOST_GOOD, NOTICED, ROUNDS, STEPS = 0.7, 0.25, 4.0, 3, 45
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -45,14 +49,14 @@ def line_features(line: bytes, words: list[bytes], repeated: bool) -> int:
     return sum(1 << i for i, x in enumerate(holds) if x)
 
 
-def repeated_words(words: list[bytes]) -> int:
+def repeated_words(words: list[bytes], packed: int = 2_000_000) -> int:
     """Words in three-word windows that the text has twice or more."""
     if len(words) < 4:
         return 0
     ids: dict[bytes, int] = {}
     a = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
     n = len(ids)
-    if n < 2_000_000:
+    if n < packed:  # three numbers fit one 64-bit key
         keys = (a[:-2] * n + a[1:-1]) * n + a[2:]
     else:
         pairs = np.unique(a[:-1] * n + a[1:], return_inverse=True)[1]
@@ -109,61 +113,103 @@ class Model:
         return ((features[:, None] >> np.arange(len(FEATURES))) & 1) @ self.weights
 
 
-def fit(sequences: list[list[int]], labels: list[int], rounds: int = 150, ridge: float = 1.0) -> Model:
-    """The weights of the greatest penalised likelihood, all lines of a sequence having its label. Gradient steps with momentum scaled by coordinate."""
-    sequences, labels = zip(*[(s, y) for s, y in zip(sequences, labels, strict=True) if s], strict=True)
-    most, n = max(map(len, sequences)), len(sequences)
-    lengths = np.array([len(s) for s in sequences])
-    order = np.argsort(-lengths, kind="stable")
-    sequences, lengths, y = [sequences[i] for i in order], lengths[order], np.array(labels)[order]
-    live = [int((lengths > t).sum()) for t in range(most)]  # sequences by length: the first ones are those that go on
-    bits = [((np.array([s[t] for s in sequences[: live[t]]], np.int64)[:, None] >> np.arange(len(FEATURES))) & 1).astype(float) for t in range(most)]
-    seen = sum(b.T @ y[: len(b)] for b in bits)
-    seen_moves = np.diag([sum((y[: live[t]] == k).sum() for t in range(1, most)) for k in (0, 1)]).astype(float)
-    theta = np.zeros(len(FEATURES) + 4)
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        w, m = theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2)
-        unary = [np.stack([np.zeros(len(b)), b @ w], 1) for b in bits]
+class Lines:
+    """Sequences of one fit, in steps: the t-th lines of all sequences that have one, the longest sequences first."""
+
+    def __init__(self, sequences: list[tuple[list[int], list[int], int]]):
+        """(features, word characters, 1 for bad) of each document."""
+        cut = [(f[i : i + SEGMENT], s[i : i + SEGMENT], y) for f, s, y in sequences for i in range(0, len(f), SEGMENT)]
+        cut.sort(key=lambda x: -len(x[0]))
+        self.n = len(cut)
+        self.bad = np.array([y for *_, y in cut], float)
+        self.lengths = np.array([len(f) for f, *_ in cut])
+        self.live = [int((self.lengths > t).sum()) for t in range(self.lengths[0])]
+        self.bits = [((np.array([f[t] for f, *_ in cut[:k]], np.int64)[:, None] >> np.arange(len(FEATURES))) & 1).astype(float) for t, k in enumerate(self.live)]
+        self.sizes = [np.array([s[t] for _, s, _ in cut[:k]], float) for t, k in enumerate(self.live)]
+        self.whole = self.add(self.sizes)
+
+    def add(self, steps: list[np.ndarray]) -> np.ndarray:
+        """Sums by sequence."""
+        total = np.zeros(self.n)
+        for x in steps:
+            total[: len(x)] += x
+        return total
+
+    def chances(self, scores: list[np.ndarray], moves: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Each line's chance of being boilerplate, and the expected number of each move."""
+        unary = [np.stack([np.zeros(len(s)), s], 1) for s in scores]
         forward = [unary[0]]
-        for t in range(1, most):
-            forward.append(np.logaddexp.reduce(forward[-1][: live[t], :, None] + m, axis=1) + unary[t])
-        backward = np.zeros((n, 2))
-        total = np.zeros(n)
-        expected, expected_moves = np.zeros(len(FEATURES)), np.zeros((2, 2))
-        for t in range(most - 1, -1, -1):
-            k = live[t]
+        for t in range(1, len(unary)):
+            forward.append(np.logaddexp.reduce(forward[-1][: self.live[t], :, None] + moves, axis=1) + unary[t])
+        backward, total, expected = np.zeros((self.n, 2)), np.zeros(self.n), np.zeros((2, 2))
+        found: list[np.ndarray] = [np.zeros(0)] * len(unary)
+        for t in range(len(unary) - 1, -1, -1):
+            k = self.live[t]
             joint = forward[t] + backward[:k]
-            total[:k] = np.where(lengths[:k] == t + 1, np.logaddexp(joint[:, 0], joint[:, 1]), total[:k])
-            expected += bits[t].T @ np.exp(joint[:, 1] - total[:k])
+            total[:k] = np.where(self.lengths[:k] == t + 1, np.logaddexp(joint[:, 0], joint[:, 1]), total[:k])
+            found[t] = np.exp(joint[:, 1] - total[:k])
             if t:
                 later = unary[t] + backward[:k]
-                edge = forward[t - 1][:k, :, None] + m + later[:, None, :]
-                expected_moves += np.exp(edge - total[:k, None, None]).sum(0)
-                backward[:k] = np.logaddexp.reduce(m + later[:, None, :], axis=2)
-        grad = np.concatenate([seen - expected, (seen_moves - expected_moves).ravel()]) - ridge * theta
-        first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
-        theta = theta + 0.15 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    return Model(theta[: len(FEATURES)], theta[len(FEATURES) :].reshape(2, 2))
+                expected += np.exp(forward[t - 1][:k, :, None] + moves + later[:, None, :] - total[:k, None, None]).sum(0)
+                backward[:k] = np.logaddexp.reduce(moves + later[:, None, :], axis=2)
+        return found, expected
+
+    def shifted(self, scores: list[np.ndarray], moves: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """chances() with each sequence's scores shifted by the least amount that its document's label asks for, found by halving."""
+        low, high = np.where(self.bad > 0, 0.0, -12.0), np.where(self.bad > 0, 12.0, 0.0)
+
+        def at(shift: np.ndarray):
+            found, expected = self.chances([s + shift[: len(s)] for s in scores], moves)
+            return found, expected, self.add([f * z for f, z in zip(found, self.sizes, strict=True)]) / self.whole
+
+        share = at(np.zeros(self.n))[2]
+        fine = np.where(self.bad > 0, share >= MOST_BAD, share <= MOST_GOOD)
+        for _ in range(8):
+            middle = (low + high) / 2
+            enough = at(middle)[2] >= np.where(self.bad > 0, MOST_BAD, MOST_GOOD)
+            low, high = np.where(enough, low, middle), np.where(enough, middle, high)
+        return at(np.where(fine, 0.0, np.where(self.bad > 0, high, low)))[:2]
+
+
+def fit(sequences: list[tuple[list[int], list[int], int]], ridge: float = 1.0) -> Model:
+    """sequences: each document's line features, line sizes, and 1 if it is bad. Expectation-maximisation over the lines' labels; each maximisation takes gradient steps with momentum scaled by coordinate."""
+    lines = Lines([x for x in sequences if x[0]])
+    k = len(FEATURES)
+    notice = FEATURES.index("notice")
+    evidence = [NOTICED * b[:, notice] for b in lines.bits]
+    theta = np.zeros(k + 4)
+    for turn in range(ROUNDS):
+        w, moves = theta[:k], theta[k:].reshape(2, 2)
+        first = np.where(lines.bad > 0, 2.0, -4.0)
+        scores = [b @ w + e + (first[: len(b)] if not turn else 0) for b, e in zip(lines.bits, evidence, strict=True)]
+        target, target_moves = lines.chances(scores, moves) if not turn else lines.shifted(scores, moves)
+        seen = sum(b.T @ q for b, q in zip(lines.bits, target, strict=True))
+        fast, slow = np.zeros_like(theta), np.zeros_like(theta)
+        for step in range(1, STEPS + 1):
+            found, expected = lines.chances([b @ theta[:k] for b in lines.bits], theta[k:].reshape(2, 2))
+            grad = np.concatenate([seen - sum(b.T @ q for b, q in zip(lines.bits, found, strict=True)), (target_moves - expected).ravel()]) - ridge * theta
+            fast, slow = 0.9 * fast + 0.1 * grad, 0.99 * slow + 0.01 * grad**2
+            theta = theta + 0.15 * (fast / (1 - 0.9**step)) / (np.sqrt(slow / (1 - 0.99**step)) + 1e-9)
+    return Model(theta[:k], theta[k:].reshape(2, 2))
 
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measures(t)[1] for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=["good", "lines"])
+        rows = [measures(t)[1:] for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1))], names=["good", "lines", "sizes"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
     """The model, fitted on a sample of labelled documents; None if a class has none."""
-    known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("good")).filter("__id is not null and good is not null").dropDuplicates(["__id"])
+    known = labels.select(F.col(id_col).alias("__id"), (F.col(label_col) > 0).cast("int").alias("good")).filter("__id is not null and good is not null").groupBy("__id").agg(F.min("good").alias("good"))
     order = F.xxhash64("__id")
     picked = known.filter("good = 1").orderBy(order, "__id").limit(sample).unionByName(known.filter("good = 0").orderBy(order, "__id").limit(sample))
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "__id")  # at most 2 * sample rows
-    found = texts.select("good", "text").mapInArrow(feature_batches, "good int, lines array<long>").filter((F.size("lines") > 0) & (F.size("lines") <= SAMPLE_LINES)).collect()
-    found.sort(key=lambda r: (r["good"], r["lines"]))
+    found = texts.select("good", "text").mapInArrow(feature_batches, "good int, lines array<long>, sizes array<long>").filter(F.size("lines") > 0).collect()
+    found.sort(key=lambda r: (r["good"], r["lines"], r["sizes"]))
     if len({r["good"] for r in found}) < 2:
         return None
-    return fit([r["lines"] for r in found], [1 - r["good"] for r in found])
+    return fit([(r["lines"], r["sizes"], 1 - r["good"]) for r in found])
 
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content_share double, kept boolean"
