@@ -51,7 +51,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents")).drop("blob")
+    """With the ledger in the folder that seamark.secrets.ledger names, a later call scans only what is new; without it, in a ledger of this call."""
+    path = spark.conf.get("seamark.secrets.ledger", None)
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.Ledger(spark, path)).drop("blob")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_katz, op2_mixing, op3_jaccard, op4_neighbours, op5_chat, op6_pii, op7_bpe, op8_sharding, op9_quality, op10_secrets)}
