@@ -9,7 +9,7 @@ are computed in double precision from the original vectors, and heaps of k merge
 result is exact.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
-no part. Rows are meant to have distinct ids; of several with one id, the least vector counts. Vectors
+no part. Finite vectors of any length do. Rows are meant to have distinct ids; of several with one id, the least vector counts. Vectors
 are compared with those of the same dimension. Equal distances go to the smaller id. No rows give no
 rows. Columns beside id and vector are not read.
 """
@@ -36,17 +36,26 @@ def sound(vector: Column) -> Column:
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, a scale for each row, and the length of each row's rounding error."""
-    scale = np.maximum(np.abs(x).max(axis=1) / 127.0, np.finfo(float).tiny)
+    scale = np.maximum(np.abs(x).max(axis=1, initial=0.0) / 127.0, np.finfo(float).tiny)
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     return codes, scale, np.sqrt(((x - codes * scale[:, None]) ** 2).sum(axis=1))
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, adding the squares in the order of the dimensions, as a plain loop would."""
+    """Row by row, adding the squares in the order of the dimensions, as a plain loop would. Rows whose squares leave the range of a double are scaled by a power of two first."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += (a[:, j] - b[:, j]) ** 2
-    return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore"):
+        for j in range(a.shape[1]):
+            total += (a[:, j] - b[:, j]) ** 2
+        out = np.sqrt(total)
+        odd = np.flatnonzero(~(total < np.inf) | (total < 1e-280))
+        if len(odd):
+            apart = a[odd] - b[odd]
+            most = np.abs(apart).max(axis=1)
+            fine = (most > 0) & (most < np.inf)
+            odd, apart, unit = odd[fine], apart[fine], 2.0 ** np.floor(np.log2(most[fine]))
+            out[odd] = np.sqrt(((apart / unit[:, None]) ** 2).sum(axis=1)) * unit
+    return out
 
 
 def matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -61,6 +70,7 @@ def nearest_in_tile(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndar
     q_wide = q_codes.astype(whole)
     q_norm = (q_codes.astype(np.float64) ** 2).sum(axis=1) * q_scale**2
     best: list[list[tuple[float, int]]] = [[] for _ in query_ids]
+    np.seterr(over="ignore", invalid="ignore")  # bounds of very long vectors are no numbers, and let their pairs through
     for at in range(0, len(ids), BLOCK):
         x, own = vectors[at : at + BLOCK], ids[at : at + BLOCK]
         codes, scale, error = quantised(x)
@@ -72,7 +82,7 @@ def nearest_in_tile(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndar
         most = np.where(same, np.inf, about + slack)
         reach = np.partition(most, k - 1, axis=1)[:, k - 1] if len(own) > k else np.full(len(query_ids), np.inf)
         reach = np.minimum(reach, [b[-1][0] if len(b) == k else np.inf for b in best])
-        rows, columns = np.nonzero((about - slack <= reach[:, None]) & ~same)
+        rows, columns = np.nonzero(~(about - slack > reach[:, None]) & ~same)
         exact = np.empty(len(rows))
         for lo in range(0, len(rows), 65_536):
             part = slice(lo, lo + 65_536)
