@@ -67,6 +67,7 @@ def table_frame(spark: SparkSession, shards: Sequence[str], slots: int = SLOTS)
 
 
 def place(docs: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """A row per row of docs: the key, its slot, its shard's position and name."""
-    keyed = docs.select(F.col(key), slot_of(F.col(key), slots).alias("slot"))
-    return keyed.join(F.broadcast(table_frame(docs.sparkSession, shards, slots)), "slot").select(key, "slot", "shard", "shard_name")
+    """A row per row of docs: the key, its slot, its shard's position and name. A key named like one of these comes out as `key`."""
+    keyed = docs.select(F.col(key).alias("key"), slot_of(F.col(key), slots).alias("slot"))
+    placed = keyed.join(F.broadcast(table_frame(docs.sparkSession, shards, slots)), "slot")
+    return placed.select(F.col("key").alias("key" if key in ("slot", "shard", "shard_name") else key), "slot", "shard", "shard_name")
