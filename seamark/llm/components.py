@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from seamark.llm.store import drop, written
 
+SALTS = 32
+
+
+def by_label(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a label. A label that many rows have is spread over `salts` tasks by a hash of the rows' key."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    return salted.join(table.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["label", "__salt"], how).drop("__salt")
+
 
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. Returns vertex, label: the least vertex of its component, for every vertex of a link.
@@ -19,8 +27,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("vertex").alias("b"), "label"), "b").groupBy(F.col("a").alias("vertex")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "vertex").select("vertex", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("vertex").alias("label"), F.col("label").alias("further"))
-        after = written(lower.join(jump, "label").select("vertex", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("moved")), "labels")
+        # a label is a vertex; only those that still are someone's label are asked for theirs
+        jump = labels.select(F.col("vertex").alias("label"), F.col("label").alias("further")).join(labels.select("label").unionByName(near.select(F.col("near").alias("label"))).distinct(), "label", "left_semi")
+        after = written(by_label(lower, jump, "vertex").select("vertex", F.least("label", "further").alias("label"), (F.least("label", "further") < F.col("old")).alias("moved")), "labels")
         drop(labels)
         labels = after
         if labels.filter("moved").isEmpty():

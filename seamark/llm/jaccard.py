@@ -12,11 +12,12 @@ has a fixed size (2**SKETCH_BITS counters, less the usual one) and only guides t
 result is the same whatever it says.
 
 Postings are grouped by bits of the shingle's key. A list of up to SMALL classes gives its pairs, which
-are verified on whole texts where they share enough prefix shingles. The classes of a longer list join
+are verified on whole texts where they share enough prefix shingles. Longer lists would give too many rows of pairs, so
+theirs are compared where their texts meet: the classes of a longer list join
 the family of the list's first class. Lists of one group of near copies mostly have the same first class,
 so a class is in few families, and any two classes of a longer list have a family in common. A family is
-cut into blocks, and each pair of blocks is a tile: all its sets are compared at once, by products of 0/1
-matrices, and a spanning forest of the links goes on. So every pair that shares enough prefix shingles is
+cut into blocks, and each pair of blocks is a tile. A tile counts the shared prefix shingles of its pairs at once, by
+products of 0/1 matrices, verifies in the same way those that share as many as they must, and a spanning forest of the links goes on. So every pair that shares enough prefix shingles is
 verified, while a group of thousands of near copies sends each text to a few tiles, and its pairs are
 never rows. Components of all verified links follow.
 
@@ -36,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.components import components
+from seamark.llm.components import by_label, components
 from seamark.llm.shingles import mixed, set_key, shingle_set
 from seamark.llm.store import drop, written
 
@@ -46,7 +47,7 @@ SMALL = 8
 POSTINGS_A_BUCKET, POSTINGS_A_FLUSH = 400_000, 1_500_000
 VERIFY_COST, POSTING_COST = 0.05, 1.0
 NO_ID = -(2**63)
-GROUP, BLOCK, BLOCK_KEYS, COLUMNS = 256, 512, 400_000, 8192
+GROUP, BLOCK, BLOCK_KEYS, COLUMNS = 256, 384, 400_000, 8192
 #: Ids up to which the list of texts to fetch is broadcast (8 bytes each); beyond, it is joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -95,7 +96,10 @@ def add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each counter, a level of how far it is above the usual one, and for each level, about how many classes hold such a shingle."""
-    rows = parts.filter("block is not null").select("block", "counts").repartition("block").mapInArrow(add_sketches, "block int, counts binary").toLocalIterator()  # 8 bytes for each of the counters in all
+    rows = parts.filter("block is not null").select("block", "counts")
+    # in two steps, so that no task reads the sketches of all
+    rows = rows.withColumn("salt", F.spark_partition_id() % 64).repartition("block", "salt").select("block", "counts").mapInArrow(add_sketches, "block int, counts binary")
+    rows = rows.repartition("block").mapInArrow(add_sketches, "block int, counts binary").toLocalIterator()  # 8 bytes for each of the counters in all
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in rows:
         total[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] += np.frombuffer(r["counts"], np.int64)
@@ -294,24 +298,34 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def compare_tile(group: pa.Table) -> pa.Table:
-    """The texts of two blocks of a family (or of one) to a spanning forest of their links."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    rows = {c: (b, t) for c, b, t in zip(*(group.column(n).to_pylist() for n in ("class", "block", "text")), strict=True)}
-    classes = sorted(rows)
-    sets = [shingle_set(unpack(rows[c][1]).decode()) for c in classes]
-    n = np.array([len(x) for x in sets])
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-    left, right = (np.array([k for k, c in enumerate(classes) if rows[c][0] == b], np.int64) for b in (i, j))
-    links = np.zeros((len(classes), len(classes)), bool)
-    if len(left) and len(right):
-        shared = overlaps([sets[k] for k in left], [sets[k] for k in right])
-        good = (shared > 0) & (100 * shared >= 75 * (n[left][:, None] + n[right] - shared))
-        links[np.ix_(left, right)] = good
-        links |= links.T
-        np.fill_diagonal(links, False)
-    found = forest(links)
-    return pa.table([pa.array([classes[x] for x, _ in found], pa.int64()), pa.array([classes[y] for _, y in found], pa.int64())], names=["a", "b"])
+def compare_tile(common):
+    def run(group: pa.Table) -> pa.Table:
+        """The texts of two blocks of a family (or of one) to a spanning forest of their links. Only pairs that share as many prefix shingles as required() asks for are verified, on their whole sets."""
+        unpack = zstandard.ZstdDecompressor().decompress
+        level, held = common.value
+        rows = {c: (b, t) for c, b, t in zip(*(group.column(n).to_pylist() for n in ("class", "block", "text")), strict=True)}
+        classes = sorted(rows)
+        sets = [shingle_set(unpack(rows[c][1]).decode()) for c in classes]
+        n = np.array([len(x) for x in sets])
+        prefixes, needs = zip(*[prefix(x, level, held) for x in sets], strict=True) if sets else ((), ())
+        needs = np.array(needs, np.int64)
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        left, right = (np.array([k for k, c in enumerate(classes) if rows[c][0] == b], np.int64) for b in (i, j))
+        links = np.zeros((len(classes), len(classes)), bool)
+        if len(left) and len(right):
+            met = overlaps([prefixes[k] for k in left], [prefixes[k] for k in right])
+            able = (met >= required(n[left][:, None], needs[left][:, None], n[right], needs[right])) & (4 * np.minimum(n[left][:, None], n[right]) >= 3 * np.maximum(n[left][:, None], n[right]))
+            x, y = np.flatnonzero(able.any(axis=1)), np.flatnonzero(able.any(axis=0))
+            if len(x) and len(y):
+                shared = overlaps([sets[k] for k in left[x]], [sets[k] for k in right[y]])
+                good = able[np.ix_(x, y)] & (shared > 0) & (100 * shared >= 75 * (n[left[x]][:, None] + n[right[y]] - shared))
+                links[np.ix_(left[x], right[y])] = good
+                links |= links.T
+                np.fill_diagonal(links, False)
+        found = forest(links)
+        return pa.table([pa.array([classes[x] for x, _ in found], pa.int64()), pa.array([classes[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def shorten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +367,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return written(routed.select("a", "class", "text").mapInArrow(verify_batches, "a long, b long"), "jaccard-links")
 
 
-def family_links(members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def family_links(members: DataFrame, classes: DataFrame, docs: DataFrame, common) -> DataFrame:
     """members: family, class, size. A spanning forest of the links within each pair of a family's blocks, written."""
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_KEYS)).cast("int").alias("blocks"))
     placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = written(tiles.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class"), "jaccard-tiles")
     routed = fetched(docs, classes, sent.select("class")).join(sent, "class")
-    return written(routed.groupBy("family", "i", "j").applyInArrow(compare_tile, "a long, b long"), "jaccard-forest")
+    return written(routed.groupBy("family", "i", "j").applyInArrow(compare_tile(common), "a long, b long"), "jaccard-forest")
 
 
 def labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -380,7 +394,7 @@ def labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     pairs = found.filter("kind = 0").select("a", "b")
     members = found.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("class"), F.col("hits").alias("size"))
     links = verified(pairs, classes, docs)
-    labels = components(links.unionAll(family_links(members, classes, docs)))
+    labels = components(links.unionAll(family_links(members, classes, docs, common)))
     return rows, classes.join(labels, classes["class"] == labels["vertex"], "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
 
 
@@ -388,7 +402,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row per document: id, n_shingles, component_id (the least id that links reach, its own included)."""
     rows, label_of = labelled(docs, id_col, text_col)
     least = label_of.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = written(label_of.join(least, "label").select("class", "component_id"), "jaccard-components")
+    of_class = written(by_label(label_of, least, "class").select("class", "component_id"), "jaccard-components")
     result = rows.join(of_class, "class", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return result.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"))
@@ -409,7 +423,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """docs with one row of each component: one whose id is the component's, of the least class, and of equal ones the least row. Rows without words are components of their own."""
     rows, label_of = labelled(docs, id_col, text_col)
     least = label_of.groupBy("label").agg(F.min("rep").alias("least"))
-    leaders = label_of.join(least, "label").filter("rep = least").groupBy("label").agg(F.min("rep").alias("__id"), F.min("class").alias("__class"))
+    leaders = by_label(label_of, least, "class").filter("rep = least").groupBy("label").agg(F.min("rep").alias("__id"), F.min("class").alias("__class"))
     leaders = written(leaders.select("__id", "__class"), "jaccard-leaders")
     repeated = written(rows.groupBy(F.col("id").alias("__id")).agg(F.count("*").alias("k")).filter("k > 1").select("__id"), "jaccard-repeated")
     own = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))

@@ -211,6 +211,23 @@ def test_jaccard_families(spark, monkeypatch):
     assert multiset(map(tuple, found.collect())) == multiset(brute_components(rows))
 
 
+@pytest.mark.parametrize("n", [9, 100, 400])
+def test_jaccard_long_lists(spark, n):
+    """Lists of n classes: a passage that n texts share, of which few link, and a group of n near copies that all do."""
+    random.seed(n)
+    passage, base = [f"p{i}" for i in range(40)], [f"b{i}" for i in range(90)]
+    rows = [(i, " ".join([f"u{i}-{k}" for k in range(random.choice([3, 8, 30]))] + passage)) for i in range(n)]
+    rows += [(1000 + i, " ".join([*base[: i % 85], f"x{i}", *base[i % 85 :]])) for i in range(n)]
+    found = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert multiset(map(tuple, found.collect())) == multiset(brute_components(rows))
+
+
+def test_fetching_by_either_join(spark, docs, monkeypatch):
+    expected = multiset(map(tuple, jaccard.join(docs).collect()))
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert multiset(map(tuple, jaccard.join(docs).collect())) == expected
+
+
 def test_deduplicated_rows(spark):
     """One row of each group stays, whatever ids rows share or lack."""
     near, other, third, fourth = (" ".join(f"{x}{i}" for i in range(60)) for x in "nopq")
