@@ -3,7 +3,7 @@
 Every version of every path is content-addressed: its blob is the SHA-256 of its text. The ledger holds
 which (blob, rule version) pairs were scanned and what was found. A scan reads the text only of blobs
 that the ledger lacks for this rule version, once per distinct text, appends them, and joins the
-findings back to all paths and versions that hold the blob. Where few blobs are new (up to `few`, 32 bytes each), their keys are
+findings back to all paths and versions that hold the blob. Where few blobs are new (up to `few`, some 250 bytes each as a broadcast row), their keys are
 broadcast and no other text moves; else texts are merged by blob on the way, copies before the shuffle.
 
 A ledger is a folder of two Parquet tables, `scanned` and `findings`, partitioned by rule version, to
@@ -42,7 +42,7 @@ RULES: dict[str, re.Pattern] = {
 #: Text without which a rule cannot match; a plain search for it is quicker than the pattern.
 NEEDS = {"access": "AKIA", "pem": "-----BEGIN ", "jwt": "eyJ", "chat": "xox", "cloud": "AIza"}
 RULE_VERSION = hashlib.sha256("\n".join(f"{k}={p.pattern}/{p.flags}" for k, p in RULES.items()).encode()).hexdigest()[:12]
-FEW = 1_000_000
+FEW = 20_000
 FINDINGS = "blob string, kind string, start long, end long"
 
 
