@@ -62,6 +62,15 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return shared > 0 and 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
+def packed(block: np.ndarray) -> bytes:
+    """A block's counters in as few bytes as hold the largest."""
+    return block.astype(np.min_scalar_type(int(block.max()))).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // SKETCH_BLOCK}")
+
+
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to a row per document (id, n, class) and, at a task's end, rows of its sketch (block, counts)."""
     counts, seen = np.zeros(1 << SKETCH_BITS, np.int32), set()
@@ -78,10 +87,10 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(counts, (keys >> shift).astype(np.int64), 1)
         k = len(sizes)
         yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-    blocks = [(i, b.astype(np.min_scalar_type(int(b.max())))) for i, b in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if b.any()]
+    blocks = [(i, packed(b)) for i, b in enumerate(counts.reshape(-1, SKETCH_BLOCK)) if b.any()]
     k = len(blocks)
     if k:
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([b.tobytes() for _, b in blocks], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], names=names)
 
 
 def add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,9 +98,9 @@ def add_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            block = np.frombuffer(data, f"u{len(data) // SKETCH_BLOCK}")
-            total[i] = total[i] + block if i in total else block.astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([b.tobytes() for b in total.values()], pa.binary())], names=["block", "counts"])
+            block = unpacked(data).astype(np.int64)  # with unsigned ones of 64 bits, sums would be floats
+            total[i] = total[i] + block if i in total else block
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(b) for b in total.values()], pa.binary())], names=["block", "counts"])
 
 
 def levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -99,14 +108,18 @@ def levels(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     rows = parts.filter("block is not null").select("block", "counts")
     # in two steps, so that no task reads the sketches of all
     rows = rows.withColumn("salt", F.spark_partition_id() % 64).repartition("block", "salt").select("block", "counts").mapInArrow(add_sketches, "block int, counts binary")
-    rows = rows.repartition("block").mapInArrow(add_sketches, "block int, counts binary").toLocalIterator()  # 8 bytes for each of the counters in all
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    rows = rows.repartition("block").mapInArrow(add_sketches, "block int, counts binary").toLocalIterator()  # at most 8 bytes for each of the counters in all
+    blocks = [np.zeros(SKETCH_BLOCK, np.uint8)] * ((1 << SKETCH_BITS) // SKETCH_BLOCK)
     for r in rows:
-        total[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] += np.frombuffer(r["counts"], np.int64)
-    usual = float(np.median(total))
+        blocks[r["block"]] = unpacked(r["counts"])
+    usual = float(np.median(np.concatenate(blocks)))
     spread = max(1.0, usual**0.5)
-    above = np.maximum(total - usual, 0) / spread
-    level = np.where(above >= 1, 1 + np.floor(2 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+
+    def graded(block: np.ndarray) -> np.ndarray:
+        above = np.maximum(block - usual, 0) / spread
+        return np.where(above >= 1, 1 + np.floor(2 * np.log2(np.maximum(above, 1))), 0).astype(np.uint8)
+
+    level = np.concatenate([graded(b) for b in blocks])  # block by block: the driver holds no float for each counter
     held = spread * 2.0 ** ((np.arange(256) - 1) / 2)
     held[: 1 + int(2 * np.log2(4))] = 0  # within the noise
     return level, held
@@ -395,6 +408,7 @@ def labelled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     members = found.filter("kind = 1").select(F.col("a").alias("family"), F.col("b").alias("class"), F.col("hits").alias("size"))
     links = verified(pairs, classes, docs)
     labels = components(links.unionAll(family_links(members, classes, docs, common)))
+    common.destroy()  # all that reads it is written
     return rows, classes.join(labels, classes["class"] == labels["vertex"], "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
 
 

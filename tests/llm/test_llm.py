@@ -222,6 +222,22 @@ def test_jaccard_long_lists(spark, n):
     assert multiset(map(tuple, found.collect())) == multiset(brute_components(rows))
 
 
+def test_levels_of_many_partitions(spark):
+    """A shingle of 40 classes, read in seven tasks, is eleven levels above one that nobody has, and a class's own ones are one above."""
+    rows = [(i, f"a b c d e x{i}") for i in range(40)]
+    read = spark.createDataFrame(rows, "id long, text string").repartition(7).mapInArrow(jaccard.read_batches, "id long, n long, class long, block int, counts binary")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # as with large sketches, both steps have several tasks
+    spark.conf.set(key, "false")
+    try:
+        level, held = jaccard.levels(read)
+    finally:
+        spark.conf.unset(key)
+    at = lambda text: int(shingles.shingle_set(text)[0] >> np.uint64(64 - jaccard.SKETCH_BITS))
+    assert level[at("a b c d e")] == 1 + math.floor(2 * math.log2(40))
+    assert [level[at(f"b c d e x{i}")] for i in range(40)] == [1] * 40
+    assert (level > 0).sum() == 41 and 0.5 < held[level[at("a b c d e")]] / 40 <= 1
+
+
 def test_fetching_by_either_join(spark, docs, monkeypatch):
     expected = multiset(map(tuple, jaccard.join(docs).collect()))
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
