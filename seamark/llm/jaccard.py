@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm.components import components
-from seamark.llm.shingles import mixed, set_key, shingle_set
+from seamark.llm.shingles import mixed, one_by_one, set_key, shingle_set
 from seamark.llm.store import drop, written
 
 SKETCH_BITS, SKETCH_BLOCK = 22, 1 << 16
 MOST_MATCHES = 16
 SMALL = 8
-POSTINGS_A_BUCKET, POSTINGS_A_FLUSH = 400_000, 1_500_000
+POSTINGS_A_BUCKET, POSTINGS_A_FLUSH = 400_000, 500_000
 VERIFY_COST, POSTING_COST = 0.05, 1.0
 NO_ID = -(2**63)
 GROUP, BLOCK, BLOCK_KEYS, COLUMNS = 256, 384, 400_000, 8192
@@ -78,7 +78,7 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n", "class", "block", "counts"]
     for batch in batches:
         ids, sizes, classes = batch.column(0), [], []
-        for text in batch.column(1).to_pylist():
+        for text in one_by_one(batch.column(1)):
             keys = shingle_set(text)
             sizes.append(len(keys))
             classes.append(set_key(keys))
@@ -157,7 +157,7 @@ def post_batches(common, bits: int):
             return pa.RecordBatch.from_arrays([pa.array(buckets[at].astype(np.int32)), cut(keys), *map(cut, columns)], names=["bucket", "keys", "classes", "sizes", "needs"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in one_by_one(batch.column(0)):
                 keys = shingle_set(text)
                 own = set_key(keys)
                 if len(keys) and own not in seen:
@@ -345,9 +345,8 @@ def shorten_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """(class, text) of fetched documents, without those whose text is of another class, compressed to be sent."""
     pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        good = [set_key(shingle_set(t)) == c for c, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode()) if g else None for t, g in zip(texts, good, strict=True)], pa.binary())], names=["class", "text"]).filter(pa.array(good, pa.bool_()))
+        sent = [pack(t.encode()) if set_key(shingle_set(t)) == c else None for c, t in zip(batch.column(0).to_pylist(), one_by_one(batch.column(1)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent, pa.binary())], names=["class", "text"]).filter(pa.array([x is not None for x in sent], pa.bool_()))
 
 
 def verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,8 +425,8 @@ def class_batches(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with the number of shingles and the class of their text."""
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column(text_col).to_pylist()]
-            more = [pa.array([len(x) for x in sets], pa.int64()), pa.array([set_key(x) for x in sets], pa.int64())]
+            found = [(len(x), set_key(x)) for x in map(shingle_set, one_by_one(batch.column(text_col)))]
+            more = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "__n", "__class"])
 
     return run

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamark.llm.shingles import one_by_one
+
 SAMPLE, SEGMENT = 1500, 400
 MOST_BAD, MOST_GOOD, NOTICED, ROUNDS, STEPS = 0.7, 0.25, 4.0, 3, 45
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
@@ -195,7 +197,7 @@ def fit(sequences: list[tuple[list[int], list[int], int]], ridge: float = 1.0) -
 
 def feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measures(t)[1:] for t in batch.column(1).to_pylist()]
+        rows = [measures(t)[1:] for t in one_by_one(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], pa.list_(pa.int64())) for i in (0, 1))], names=["good", "lines", "sizes"])
 
 
@@ -219,7 +221,7 @@ def judge(model: Model | None, min_content: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in one_by_one(batch.column(batch.num_columns - 1)):
                 base, features, sizes = measures(text)
                 failed = base[0] < MIN_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
                 share = 0.0

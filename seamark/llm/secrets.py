@@ -24,6 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seamark.llm.shingles import one_by_one
 from seamark.llm.store import new_path, written
 
 #: The base kinds in order; further kinds follow them in the order of the same spot.
@@ -63,7 +64,7 @@ def find(text: str) -> list[tuple[int, str, int]]:
 def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("blob", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     for batch in batches:
-        rows = [(blob, kind, start, end) for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for start, kind, end in find(text)]
+        rows = [(blob, kind, start, end) for blob, text in zip(batch.column(0).to_pylist(), one_by_one(batch.column(1)), strict=True) for start, kind, end in find(text)]
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
@@ -135,7 +136,7 @@ def redact_batches(text_at: int):
         """Rows whose last column holds the spans; the text column is changed in its place, and the last one goes."""
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, found in zip(one_by_one(batch.column(text_at)), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if found:
                     parts, at = [], 0
                     for kind, start, end in ((k, int(a), int(b)) for k, a, b in (x.split(":") for x in found.split(","))):

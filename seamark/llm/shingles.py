@@ -8,7 +8,10 @@ sets share a key with a chance of about 2**-64 a pair; these are the only places
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 WIDTH = 5
@@ -20,6 +23,11 @@ BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def one_by_one(texts: pa.Array) -> Iterator[str | None]:
+    """A batch's texts as Python strings, of which only one need be held at a time."""
+    return (t.as_py() for t in texts)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
